@@ -51,12 +51,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as the optimizer estimates it from file statistics."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core on inputs smaller than one scan split per core.
 
@@ -64,8 +58,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     one core busy.  Inputs with enough splits are returned unchanged: at scale
     this adds no shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if plan_bytes(df) >= cores * 32 * 1024 * 1024:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
