@@ -148,13 +148,15 @@ CLEAN_MONEY = (
     rf"|(?:\G|(?<![{D},.]))[{D},.]++{S}*+(?:\$|€|£|¥|USD|EUR|MXN)"
     rf"|(?<![{WORD}]){D}[{D},.]*+{S}*+(?:{AMOUNT_UNIT})(?![{WORD}])"
 )
-CLEAN_MONEY_MARK = rf"(?iu)\$|€|£|¥|USD|EUR|MXN|COP|ARS|BRL|{AMOUNT_UNIT}"
+CLEAN_MONEY_MARKS = [
+    "$", "€", "£", "¥", "usd", "eur", "mxn", "cop", "ars", "brl", "peso", "dólar", "dollar",
+]
 RULE_MONEY = (
     rf"(?iu)(?:\$|€|£|¥){S}*[{D},.]+"
     rf"|(?<![{D},.])[{D},.]++{S}*+(?:\$|€|£|¥)"
     rf"|(?<![{WORD}]){D}[{D},.]*+{S}*+(?:{AMOUNT_UNIT})(?![{WORD}])"
 )
-RULE_MONEY_MARK = rf"(?iu)\$|€|£|¥|{AMOUNT_UNIT}"
+RULE_MONEY_MARKS = ["$", "€", "£", "¥", "peso", "dólar", "dollar", "euro"]
 ENTITY_AMOUNT = (
     rf"(?iu)(?:\$|€|£|MXN|USD){S}?{D}[{D},.]*"
     rf"|(?<!{D}){D}[{D},.]*+{S}?(?:{AMOUNT_UNIT})(?![{WORD}])"

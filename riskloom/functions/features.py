@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions import entities
-from riskloom.functions.rules import exclamations
+from riskloom.functions.rules import exclamations, has_email
 from riskloom.functions.words import contains_any
 
 
@@ -74,7 +74,7 @@ def with_manual_features(df: DataFrame, text: str = "message") -> DataFrame:
         ).cast("double"),
         "has_url": _number(t.rlike(K.FEATURE_URL)),
         "has_phone": _number(t.rlike(K.FEATURE_PHONE)),
-        "has_email": _number(t.rlike(f"{K.EMAIL_TOKEN}|{K.EMAIL}")),
+        "has_email": _number(t.contains(K.EMAIL_TOKEN) | has_email(t)),
         "has_money": _number(t.rlike(K.FEATURE_MONEY)),
         "uppercase_word_count": uppercase_words(t).cast("double"),
         "has_urgency": _number(contains_any(low, K.URGENCY_WORDS)),

@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions.levels import score_level
-from riskloom.functions.text import has_phone, is_blank
+from riskloom.functions.text import (
+    has_phone,
+    is_blank,
+    may_hold_email,
+    may_hold_money,
+    may_hold_url,
+)
 from riskloom.functions.words import contains_any
 
 SIGNALS = list(K.SIGNAL_POINTS)
 
 
 def url_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(K.RULE_URL))
+    return F.when(
+        may_hold_url(text), F.regexp_count(text, F.lit(K.RULE_URL))).otherwise(0)
 
 
 def has_email(text: Column) -> Column:
-    return text.rlike(K.EMAIL)
+    return may_hold_email(text) & text.rlike(K.EMAIL)
 
 
 def has_money(text: Column) -> Column:
-    return text.rlike(K.RULE_MONEY_MARK) & text.rlike(K.RULE_MONEY)
+    return may_hold_money(text, K.RULE_MONEY_MARKS) & text.rlike(K.RULE_MONEY)
 
 
 def exclamations(text: Column) -> Column:

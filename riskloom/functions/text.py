@@ -1,5 +1,8 @@
 """Text cleaning as Column expressions."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,26 @@ def _replace(text: Column, pattern: str, token: str) -> Column:
     return F.regexp_replace(text, pattern, token)
 
 
+def may_hold_url(text: Column) -> Column:
+    """Every URL form has a slash or starts with www."""
+    return text.contains("/") | text.rlike(r"(?i)www\.")
+
+
+def may_hold_email(text: Column) -> Column:
+    return text.contains("@")
+
+
+def may_hold_phone(text: Column) -> Column:
+    """Every phone form has three digits in a row."""
+    return text.rlike(r"\p{Nd}{3}")
+
+
+def may_hold_money(text: Column, marks: list[str]) -> Column:
+    """Every amount names a currency; the long s folds to s when case is ignored."""
+    lowered = F.lower(text)
+    return reduce(or_, (lowered.contains(m) for m in marks)) | text.contains("\u017f")
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
     return F.regexp_replace(text, f"^{K.S}+|(?<!{K.S}){K.S}+$", "")
@@ -27,11 +50,11 @@ def is_blank(text: Column) -> Column:
 
 
 def normalize_urls(text: Column) -> Column:
-    return _replace(text, K.CLEAN_URL, K.URL_TOKEN)
+    return F.when(may_hold_url(text), _replace(text, K.CLEAN_URL, K.URL_TOKEN)).otherwise(text)
 
 
 def normalize_emails(text: Column) -> Column:
-    return _replace(text, K.EMAIL, K.EMAIL_TOKEN)
+    return F.when(may_hold_email(text), _replace(text, K.EMAIL, K.EMAIL_TOKEN)).otherwise(text)
 
 
 def mark_phones(text: Column, pattern: str) -> Column:
@@ -40,19 +63,18 @@ def mark_phones(text: Column, pattern: str) -> Column:
 
 def has_phone(text: Column, pattern: str = K.RULE_PHONE) -> Column:
     """A match with fewer than seven digits does not count as a phone."""
-    return mark_phones(text, pattern).rlike(_ENOUGH_DIGITS)
+    return may_hold_phone(text) & mark_phones(text, pattern).rlike(_ENOUGH_DIGITS)
 
 
 def normalize_phones(text: Column) -> Column:
     marked = mark_phones(text, K.CLEAN_PHONE)
     replaced = _replace(marked, rf"{_ENOUGH_DIGITS}[^{_CLOSE}]*{_CLOSE}", K.PHONE_TOKEN)
-    return F.translate(replaced, _OPEN + _CLOSE, "")
+    return F.when(may_hold_phone(text), F.translate(replaced, _OPEN + _CLOSE, "")).otherwise(text)
 
 
 def normalize_money(text: Column) -> Column:
-    """The amount search runs only on texts that name a currency at all."""
     return F.when(
-        text.rlike(K.CLEAN_MONEY_MARK), _replace(text, K.CLEAN_MONEY, K.MONEY_TOKEN)
+        may_hold_money(text, K.CLEAN_MONEY_MARKS), _replace(text, K.CLEAN_MONEY, K.MONEY_TOKEN)
     ).otherwise(text)
 
 
@@ -70,28 +92,17 @@ def words(text: Column) -> Column:
 
 
 def clean_steps(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``clean_text`` one projection per step, so that the money test does not
-    repeat the replacements before it."""
-    return (
-        df.withColumn(
-            out, normalize_phones(normalize_emails(normalize_urls(F.col(text))))
-        )
-        .withColumn(out, normalize_money(F.col(out)))
-        .withColumn(
-            out,
-            F.coalesce(
-                collapse_spaces(drop_irrelevant(F.lower(F.col(out)))), F.lit("")
-            ),
-        )
-    )
-
-
-def clean_text(text: Column) -> Column:
-    """URL, e-mail, phone and money tokens, lower case, relevant characters only."""
-    marked = normalize_phones(normalize_emails(normalize_urls(text)))
-    return F.coalesce(
-        collapse_spaces(drop_irrelevant(F.lower(normalize_money(marked)))), F.lit("")
-    )
+    """Add the cleaned text: URL, e-mail, phone and money tokens, lower case,
+    relevant characters only.
+
+    One projection per step: each looks at its input more than once, and the
+    optimizer does not repeat an expensive input inside a later projection.
+    """
+    for step in (normalize_urls, normalize_emails, normalize_phones, normalize_money):
+        df = df.withColumn(out, step(F.col(text)))
+        text = out
+    return df.withColumn(out, F.coalesce(
+        collapse_spaces(drop_irrelevant(F.lower(F.col(out)))), F.lit("")))
 
 
 def clean_messages(df: DataFrame, text: str = "message") -> DataFrame:
