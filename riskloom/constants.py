@@ -179,6 +179,7 @@ ENTITY_BANK = (
     rf"Chase|Wells{S}?Fargo|Bank{S}?of{S}?America|Citi|Barclays)(?![{WORD}])"
 )
 IRRELEVANT_CHARS = rf"[^{WORD}{SPACE}!?.,<>@#$%&*+\-/]"
+RELEVANT_CHAR = rf"[{WORD}!?.,<>@#$%&*+\-/]"
 TERM = rf"[{WORD}]{{2,}}"
 
 URL_TOKEN, EMAIL_TOKEN, PHONE_TOKEN, MONEY_TOKEN = "<URL>", "<EMAIL>", "<PHONE>", "<MONEY>"

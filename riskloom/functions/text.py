@@ -105,6 +105,15 @@ def clean_steps(df: DataFrame, text: str, out: str) -> DataFrame:
         collapse_spaces(drop_irrelevant(F.lower(F.col(out)))), F.lit("")))
 
 
-def clean_messages(df: DataFrame, text: str = "message") -> DataFrame:
-    """Clean a message table and drop the rows that become empty."""
-    return clean_steps(df, text, text).filter(F.col(text) != "")
+def has_content(text: Column) -> Column:
+    """True where the cleaned text will not be empty.
+
+    Tested on the raw text: a filter on the cleaned column would be pushed below
+    the cleaning steps and repeat all of them.
+    """
+    return text.rlike(K.RELEVANT_CHAR)
+
+
+def clean_messages(df: DataFrame, text: str = "message", out: str | None = None) -> DataFrame:
+    """Clean a message table without the rows that would become empty."""
+    return clean_steps(df.filter(has_content(F.col(text))), text, out or text)

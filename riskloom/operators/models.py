@@ -19,9 +19,9 @@ from riskloom import constants as K
 from riskloom.functions import levels as L
 from riskloom.functions.features import with_manual_features
 from riskloom.functions.rules import score_messages
-from riskloom.functions.text import clean_steps
+from riskloom.functions.text import clean_messages, clean_steps
 from riskloom.operators import split, tfidf
-from riskloom.session import scratch_path
+from riskloom.session import scratch_path, staged
 
 SUPPORTED = [
     "naive_bayes", "logistic_regression", "linear_svc", "linear_svc_calibrated",
@@ -75,19 +75,22 @@ def as_feature_table(df: DataFrame, keep: list[str], size: int) -> DataFrame:
 
 
 def sparse_features(
-    cleaned: DataFrame, vocabulary: DataFrame, width: int, manual: bool, text: str = "clean",
-    key: str = "msg_id",
+    cleaned: DataFrame, vocabulary: DataFrame, width: int, manual: bool, carry: list[str],
+    text: str = "clean", key: str = "msg_id",
 ) -> DataFrame:
-    """``(key, ids, values)``: TF-IDF, then the hand-made features from ``width`` on."""
-    vectors = tfidf.transform_tfidf(cleaned, vocabulary, [key], text)
-    ids, values = F.col("vector.term_id"), F.col("vector.weight")
+    """``(key, *carry, ids, values)``: TF-IDF, then the hand-made features from
+    ``width`` on."""
     if not manual:
-        return vectors.select(key, ids.alias("ids"), values.alias("values"))
-    extra = with_manual_features(cleaned.select(key, text), text).select(
-        key, F.array(*K.MANUAL_FEATURES).alias("manual"))
+        vectors = tfidf.transform_tfidf(cleaned, vocabulary, key, text, carry=carry)
+        return vectors.select(key, *carry, F.col("vector.term_id").alias("ids"),
+                              F.col("vector.weight").alias("values"))
+    extra = with_manual_features(cleaned.select(key, *dict.fromkeys([*carry, text])), text)
+    packed = extra.withColumn("_manual", F.array(*K.MANUAL_FEATURES))
+    vectors = tfidf.transform_tfidf(packed, vocabulary, key, text, carry=[*carry, "_manual"])
     places = F.array(*[F.lit(width + i) for i in range(len(K.MANUAL_FEATURES))])
-    return vectors.join(extra, key).select(
-        key, F.concat(ids, places).alias("ids"), F.concat(values, "manual").alias("values"))
+    return vectors.select(
+        key, *carry, F.concat("vector.term_id", places).alias("ids"),
+        F.concat("vector.weight", "_manual").alias("values"))
 
 
 @dataclass
@@ -105,9 +108,11 @@ class TrainedModel:
     def size(self) -> int:
         return self.width + (len(K.MANUAL_FEATURES) if self.manual else 0)
 
-    def features(self, cleaned: DataFrame) -> DataFrame:
-        rows = sparse_features(cleaned, self.vocabulary, self.width, self.manual)
-        return as_feature_table(rows, ["msg_id"], self.size)
+    def features(self, cleaned: DataFrame, carry: list[str] | None = None) -> DataFrame:
+        """Feature table of messages that have a ``clean`` column."""
+        carry = carry or []
+        rows = sparse_features(cleaned, self.vocabulary, self.width, self.manual, carry)
+        return as_feature_table(rows, ["msg_id", *carry], self.size)
 
     def classify(self, features: DataFrame, keep: list[str]) -> DataFrame:
         """``(*keep, predicted_class, confidence, fraud_score)``."""
@@ -153,18 +158,16 @@ def train(
     """Fit on labelled messages ``(msg_id, message, label)``."""
     key = canonical_name(name)
     manual = manual and key != "naive_bayes"
-    cleaned = clean_steps(df, "message", "clean").filter(F.col("clean") != "")
-    vocabulary = tfidf.fit_tfidf(cleaned, text="clean", max_features=max_features)
-    spark = df.sparkSession
-    path = scratch_path(spark, "vocabulary")
-    vocabulary.write.parquet(path)
-    vocabulary = spark.read.parquet(path)
-    rows = sparse_features(cleaned, vocabulary, max_features, manual)
-    targets = split.with_class_weight(split.encode_labels(df.select("msg_id", "label")))
+    # Cleaned once, then read by the vocabulary fit and by the transform.
+    cleaned = staged(
+        clean_messages(df, "message", "clean").select("msg_id", "label", "clean"), "cleaned")
+    vocabulary = staged(
+        tfidf.fit_tfidf(cleaned, text="clean", max_features=max_features), "vocabulary")
+    targets = split.with_class_weight(split.encode_labels(cleaned)).withColumn(
+        "label_id", F.col("label_id").cast("double"))
+    rows = sparse_features(targets, vocabulary, max_features, manual, ["label_id", "weight"])
     trained = TrainedModel(key, None, vocabulary, max_features, manual)
-    table = as_feature_table(
-        rows.join(targets.withColumn("label_id", F.col("label_id").cast("double")), "msg_id"),
-        ["msg_id", "label_id", "weight"], trained.size)
+    table = as_feature_table(rows, ["msg_id", "label_id", "weight"], trained.size)
     estimator = make_classifier(key, weighted=key != "naive_bayes", **overrides)
     trained.model = estimator.fit(table)
     if key == "linear_svc_calibrated":
@@ -179,8 +182,9 @@ def predict_messages(trained: TrainedModel, df: DataFrame, text: str = "message"
     confidence.
     """
     scored = score_messages(clean_steps(df, text, "clean"), text)
-    classes = trained.classify(trained.features(scored.select("msg_id", "clean")), ["msg_id"])
-    return combine_with_rules(scored.join(classes, "msg_id"))
+    carry = [c for c in scored.columns if c != "msg_id"]
+    classes = trained.classify(trained.features(scored, carry), ["msg_id", *carry])
+    return combine_with_rules(classes)
 
 
 def combine_with_rules(df: DataFrame) -> DataFrame:
@@ -233,9 +237,8 @@ def compare_models(
         trained = train(parts.filter(~F.col("is_test")), name, **options,
                         **(overrides or {}).get(name, {}))
         tested = clean_steps(parts.filter("is_test"), "message", "clean")
-        classes = trained.classify(trained.features(tested.select("msg_id", "clean")), ["msg_id"])
+        classes = trained.classify(trained.features(tested, ["label"]), ["msg_id", "label"])
         row = binary_metrics(
-            tested.select("msg_id", "label").join(classes, "msg_id"),
-            "label", "predicted_class", K.FRAUDULENT).withColumn("model", F.lit(name))
+            classes, "label", "predicted_class", K.FRAUDULENT).withColumn("model", F.lit(name))
         result = row if result is None else result.unionByName(row)
     return result

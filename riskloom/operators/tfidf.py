@@ -135,10 +135,11 @@ def transform_tfidf(
     norm = F.sqrt(F.aggregate(
         "_ws", F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
     kept = [F.col(f"_c.{c}").alias(c) for c in carry]
-    return grouped.select(key, *kept, "_ws", norm.alias("_norm")).select(
-        key, *carry, F.transform("_ws", lambda x: F.struct(
-            x["term_id"].alias("term_id"), (x["weight"] / F.col("_norm")).alias("weight"),
-        )).alias("vector"))
+    # As an argument the norm is computed once per row; inside the lambda it
+    # would be computed again for every element.
+    norms = F.array_repeat(norm, F.size("_ws"))
+    return grouped.select(key, *kept, F.zip_with("_ws", norms, lambda x, n: F.struct(
+        x["term_id"].alias("term_id"), (x["weight"] / n).alias("weight"))).alias("vector"))
 
 
 def long_weights(vectors: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core on inputs smaller than one scan split per core.
 
