@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ["message"]
+_GROUPS = ["message", "conversation"]
 
 
 def _merge(kind: str, attribute: str) -> dict:
