@@ -55,7 +55,7 @@ def with_manual_features(df: DataFrame, text: str = "message") -> DataFrame:
     """Add the columns of ``MANUAL_FEATURES``, all DOUBLE, in their fixed order."""
     df = df.withColumn("_raw", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("_low", F.lower("_raw"))
-    t, low = F.col("_raw"), F.col("_low")
+    t = F.col("_raw")
     df = df.withColumns({
         "_phones": F.regexp_count(t, F.lit(K.ENTITY_PHONE)),
         "_amounts": F.regexp_count(t, F.lit(K.ENTITY_AMOUNT)),
@@ -77,11 +77,11 @@ def with_manual_features(df: DataFrame, text: str = "message") -> DataFrame:
         "has_email": _number(t.contains(K.EMAIL_TOKEN) | has_email(t)),
         "has_money": _number(t.rlike(K.FEATURE_MONEY)),
         "uppercase_word_count": uppercase_words(t).cast("double"),
-        "has_urgency": _number(contains_any(low, K.URGENCY_WORDS)),
-        "has_money_words": _number(contains_any(low, K.MONEY_WORDS)),
-        "has_credential_words": _number(contains_any(low, K.CREDENTIAL_WORDS)),
-        "has_prize_words": _number(contains_any(low, K.PRIZE_WORDS)),
-        "negation_score": negation_score(low),
+        "has_urgency": _number(contains_any("_low", K.URGENCY_WORDS)),
+        "has_money_words": _number(contains_any("_low", K.MONEY_WORDS)),
+        "has_credential_words": _number(contains_any("_low", K.CREDENTIAL_WORDS)),
+        "has_prize_words": _number(contains_any("_low", K.PRIZE_WORDS)),
+        "negation_score": negation_score(F.col("_low")),
         "entity_count": (F.col("_phones") + F.col("_amounts") + F.col("_others")).cast("double"),
         "has_phone_ner": _number(F.col("_phones") > 0),
         "has_amount_ner": _number(F.col("_amounts") > 0),
@@ -95,9 +95,9 @@ def with_evidence(df: DataFrame, text: str = "message") -> DataFrame:
     low = F.col("_low")
     flags = {
         "url_present": low.rlike(K.EVIDENCE_URL),
-        "urgency": contains_any(low, K.URGENCY_WORDS),
-        "credential_request": contains_any(low, K.CREDENTIAL_WORDS),
-        "bank_mentioned": contains_any(low, K.BANK_WORDS),
+        "urgency": contains_any("_low", K.URGENCY_WORDS),
+        "credential_request": contains_any("_low", K.CREDENTIAL_WORDS),
+        "bank_mentioned": contains_any("_low", K.BANK_WORDS),
         "amount_present": low.rlike(K.EVIDENCE_AMOUNT),
         "negation_present": has_negation(low),
     }

@@ -46,19 +46,18 @@ def with_flags(df: DataFrame, text: str = "message", lowered: str | None = None)
     low_name = lowered or "_lowered"
     if lowered is None:
         df = df.withColumn(low_name, F.lower(t))
-    low = F.col(low_name)
     df = df.withColumns({
         "n_urls": url_count(t),
         "sig_phone": has_phone(t),
         "sig_email": has_email(t),
         "sig_money": has_money(t),
-        "sig_urgency": contains_any(low, K.URGENCY_WORDS),
-        "sig_block": contains_any(low, K.ACCOUNT_BLOCK_WORDS),
-        "sig_prize": contains_any(low, K.PRIZE_WORDS),
-        "sig_transfer": contains_any(low, K.TRANSFER_WORDS),
-        "sig_credential": contains_any(low, K.CREDENTIAL_WORDS),
-        "sig_pressure": contains_any(low, K.PRESSURE_WORDS),
-        "_money_hit": contains_any(low, K.MONEY_WORDS),
+        "sig_urgency": contains_any(low_name, K.URGENCY_WORDS),
+        "sig_block": contains_any(low_name, K.ACCOUNT_BLOCK_WORDS),
+        "sig_prize": contains_any(low_name, K.PRIZE_WORDS),
+        "sig_transfer": contains_any(low_name, K.TRANSFER_WORDS),
+        "sig_credential": contains_any(low_name, K.CREDENTIAL_WORDS),
+        "sig_pressure": contains_any(low_name, K.PRESSURE_WORDS),
+        "_money_hit": contains_any(low_name, K.MONEY_WORDS),
         "sig_exclamation": exclamations(t) >= K.EXCLAMATION_MIN,
         "_blank": is_blank(t),
     })

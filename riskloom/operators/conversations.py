@@ -6,8 +6,6 @@ reach into; every later step works on such blocks, on single windows, or on runs
 of overlapping suspicious windows.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +35,7 @@ def enrich(turns: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 
 def profile_turns(enriched: DataFrame) -> DataFrame:
     """Numbers of each turn that window features need; no text is passed on."""
-    low = F.col("_low")
-    bits = {}
+    low, bits = "_low", {}
     for name, vocabulary in _HALVES.items():
         bits[f"{name}_bits"] = V.hit_bits(low, vocabulary)
         bits[f"{name}_head"] = V.head_bits(low, vocabulary)
@@ -93,80 +90,79 @@ def window_features(profiled: DataFrame, sizes: list[int] | None = None) -> Data
     widest = max(sizes)
     payload = [c for c in profiled.columns if c not in ("conv_id", "turn")]
     wins = windows(profiled, payload, sizes)
-    n = F.size("win")
-    cells = wins.select(
-        "conv_id", F.col("win")[0]["turn"].alias("start_idx"),
-        F.element_at("win", -1)["turn"].alias("end_idx"), n.alias("n"),
-        F.greatest(F.floor(n / 2), F.lit(1)).cast("int").alias("half"),
-        *[F.get(F.col(f"win.{c}"), j).alias(f"{c}_{j}") for c in payload for j in range(widest)])
-
-    def total(value, where=None) -> Column:
-        terms = []
-        for j in range(widest):
-            term = value(j)
-            if where is not None:
-                term = F.when(where(j), term)
-            terms.append(F.coalesce(term, F.lit(0)))
-        return reduce(lambda a, b: a + b, terms)
-
-    def union(name: str, where=None) -> Column:
-        """Words that occur in the joined text of the chosen turns."""
-        inside = lambda j: F.lit(True) if where is None else where(j)
-        parts = [F.coalesce(F.when(inside(j), F.col(f"{name}_bits_{j}")), F.lit(0))
-                 for j in range(widest)]
-        parts += [F.coalesce(F.when(
-            inside(j) & inside(j + 1),
-            F.col(f"{name}_tail_{j}").bitwiseAND(F.col(f"{name}_head_{j + 1}"))), F.lit(0))
-            for j in range(widest - 1)]
-        return F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), parts))
-
-    early, late = (lambda j: F.lit(j) < F.col("half")), (lambda j: F.lit(j) >= F.col("half"))
-    cell = lambda c: (lambda j: F.col(f"{c}_{j}"))
-    hits = lambda c: (lambda j: F.bit_count(F.col(f"{c}_bits_{j}")))
-    middle = (F.col("n") - 1) / 2.0
-    spread = F.col("n") * (F.col("n") * F.col("n") - 1) / 12.0
-    slope = lambda c: total(lambda j: F.col(f"{c}_{j}") * (j - middle)) / spread
-    last = lambda c: F.coalesce(*[F.col(f"{c}_{j}") for j in reversed(range(widest))])
-    risk = cell("risk_score")
-    late_n = F.col("n") - F.col("half")
-    sums = cells.select(
-        "conv_id", "start_idx", "end_idx", F.col("n").cast("double").alias("n_messages"),
-        slope("risk_score").alias("risk_slope"),
-        (last("risk_score") - F.col("risk_score_0")).cast("double").alias("risk_delta"),
-        F.greatest(*[risk(j) for j in range(widest)]).cast("double").alias("risk_max"),
-        (total(risk) / F.col("n")).alias("risk_mean"),
-        # n * sum(x^2) - sum(x)^2 over whole numbers: no rounding before the division.
-        ((F.col("n") * total(lambda j: risk(j) * risk(j)) - total(risk) * total(risk))
-         / (F.col("n") * F.col("n"))).alias("risk_variance"),
-        last("risk_score").alias("_last"),
-        (total(risk, early) / F.col("half")).alias("early_risk_mean"),
-        (total(risk, late) / late_n).alias("late_risk_mean"),
-        (total(cell("is_fraud")) / F.col("n")).alias("ml_fraud_ratio"),
-        (total(cell("is_fraud"), late) / late_n).alias("ml_fraud_late_ratio"),
-        (total(cell("is_legit"), early) / F.col("half")).alias("ml_legit_early_ratio"),
-        total(cell("n_signals")).cast("double").alias("signal_total"),
-        slope("n_signals").alias("signal_slope"),
-        last("n_signals").cast("double").alias("signal_last"),
-        total(hits("urg")).cast("double").alias("urgency_count"),
-        total(hits("cred")).cast("double").alias("credential_count"),
-        total(hits("prize")).cast("double").alias("prize_count"),
-        total(cell("n_imp")).cast("double").alias("impersonation_count"),
-        total(cell("n_press")).cast("double").alias("pressure_count"),
-        total(cell("n_trans")).cast("double").alias("transfer_count"),
-        union("urg", late).alias("_urg_late"), union("cred", late).alias("_cred_late"),
-        union("prize", early).alias("_prize_early"))
+    turns = range(widest)
+    cells = wins.selectExpr(
+        "conv_id", "win[0].turn AS start_idx", "element_at(win, -1).turn AS end_idx",
+        "size(win) AS n", "greatest(size(win) div 2, 1) AS half",
+        *[f"get(win.{c}, {j}) AS {c}_{j}" for c in payload for j in turns])
+    early, late = (lambda j: f"{j} < half"), (lambda j: f"{j} >= half")
+
+    def total(value: str, where=None) -> str:
+        """Sum over the window of ``value``, where ``#`` stands for the position."""
+        terms = [value.replace("#", str(j)) for j in turns]
+        if where is not None:
+            terms = [f"if({where(j)}, {t}, 0)" for j, t in zip(turns, terms)]
+        return "(" + " + ".join(f"coalesce({t}, 0)" for t in terms) + ")"
+
+    def union(name: str, where) -> str:
+        """Number of words in the joined text of the chosen turns: words inside a
+        turn, and phrases from the end of one turn to the start of the next."""
+        parts = [f"if({where(j)}, coalesce({name}_bits_{j}, 0L), 0L)" for j in turns]
+        parts += [
+            f"if({where(j)} AND {where(j + 1)}, "
+            f"coalesce({name}_tail_{j} & {name}_head_{j + 1}, 0L), 0L)" for j in turns[:-1]]
+        return "bit_count(" + " | ".join(parts) + ")"
+
+    def slope(name: str) -> str:
+        """Least squares over positions 0..n-1, whose squares sum to n(n^2-1)/12."""
+        return f"{total(f'{name}_# * (# - (n - 1) / 2.0D)')} / (n * (n * n - 1) / 12.0D)"
+
+    def last(name: str) -> str:
+        return "coalesce(" + ", ".join(f"{name}_{j}" for j in reversed(turns)) + ")"
+
+    risk, fraud, legit = "risk_score_#", "is_fraud_#", "is_legit_#"
+    columns = {
+        "n_messages": "n",
+        "risk_slope": slope("risk_score"),
+        "risk_delta": f"{last('risk_score')} - risk_score_0",
+        "risk_max": "greatest(" + ", ".join(f"risk_score_{j}" for j in turns) + ")",
+        "risk_mean": f"{total(risk)} / n",
+        # Whole numbers up to the division, so nothing is rounded before it.
+        "risk_variance":
+            f"(n * {total('risk_score_# * risk_score_#')} - {total(risk)} * {total(risk)}) / (n * n)",
+        "last_risk": last("risk_score"),
+        "early_risk_mean": f"{total(risk, early)} / half",
+        "late_risk_mean": f"{total(risk, late)} / (n - half)",
+        "ml_fraud_ratio": f"{total(fraud)} / n",
+        "ml_fraud_late_ratio": f"{total(fraud, late)} / (n - half)",
+        "ml_legit_early_ratio": f"{total(legit, early)} / half",
+        "signal_total": total("n_signals_#"),
+        "signal_slope": slope("n_signals"),
+        "signal_last": last("n_signals"),
+        "urgency_count": total("bit_count(urg_bits_#)"),
+        "credential_count": total("bit_count(cred_bits_#)"),
+        "prize_count": total("bit_count(prize_bits_#)"),
+        "impersonation_count": total("n_imp_#"),
+        "pressure_count": total("n_press_#"),
+        "transfer_count": total("n_trans_#"),
+        "urgency_late": union("urg", late),
+        "credential_late": union("cred", late),
+        "prize_early": union("prize", early),
+    }
+    sums = cells.selectExpr(
+        "conv_id", "start_idx", "end_idx",
+        *[f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in columns.items()])
     share = lambda part, whole: F.col(part) / F.greatest(F.col(whole), F.lit(1.0))
-    done = sums.withColumns({
+    return sums.withColumns({
         "risk_acceleration": F.col("late_risk_mean") - F.col("early_risk_mean"),
         "late_risk_spike": F.when(
             (F.col("n_messages") > 2)
-            & (F.col("_last") > F.col("risk_mean") + 1.5 * F.sqrt("risk_variance") + 1e-9), 1.0,
+            & (F.col("last_risk") > F.col("risk_mean") + 1.5 * F.sqrt("risk_variance") + 1e-9), 1.0,
         ).otherwise(0.0),
-        "urgency_late_ratio": share("_urg_late", "urgency_count"),
-        "credential_late_ratio": share("_cred_late", "credential_count"),
-        "prize_early_ratio": share("_prize_early", "prize_count"),
-    })
-    return done.select("conv_id", "start_idx", "end_idx", *K.WINDOW_FEATURES)
+        "urgency_late_ratio": share("urgency_late", "urgency_count"),
+        "credential_late_ratio": share("credential_late", "credential_count"),
+        "prize_early_ratio": share("prize_early", "prize_count"),
+    }).select("conv_id", "start_idx", "end_idx", *K.WINDOW_FEATURES)
 
 
 def _upto(value: Column, limit: float) -> Column:

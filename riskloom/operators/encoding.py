@@ -54,14 +54,15 @@ def encode_conversations(enriched: DataFrame, length: int = K.ENCODED_MESSAGES)
                  F.array_repeat(F.lit(True), missing)).alias("mask"))
 
 
-def heuristic_risk(text: Column) -> Column:
-    """Stand-alone risk of a text, 0 to 1."""
-    low = F.lower(text)
-    hits = lambda vocabulary: F.bit_count(V.hit_bits(low, vocabulary))
-    return F.least(reduce(add, (
+def with_heuristic_risk(df: DataFrame, text: str = "text", out: str = "risk") -> DataFrame:
+    """Add the stand-alone risk of a text, 0 to 1."""
+    df = df.withColumn("_low", F.lower(text))
+    low = F.col("_low")
+    hits = lambda vocabulary: F.bit_count(V.hit_bits("_low", vocabulary))
+    return df.withColumn(out, F.least(reduce(add, (
         0.15 * hits(K.URGENCY_WORDS), 0.20 * hits(K.CREDENTIAL_WORDS), 0.10 * hits(K.MONEY_WORDS),
         F.when(low.rlike(K.PATH_URL), 0.25).otherwise(0.0),
-        F.when(low.rlike(K.PATH_NUMBER), 0.10).otherwise(0.0))), F.lit(1.0))
+        F.when(low.rlike(K.PATH_NUMBER), 0.10).otherwise(0.0))), F.lit(1.0))).drop("_low")
 
 
 def worst_path(turns: DataFrame, risk: str, length: int = K.PATH_LENGTH) -> DataFrame:

@@ -129,8 +129,7 @@ def k21_k24(spark, folder):
 
 
 def k23(spark, folder):
-    rows = T.turns(spark, folder).withColumn(
-        "risk", F.round(E.heuristic_risk(F.col("text")), 6))
+    rows = E.with_heuristic_risk(T.turns(spark, folder)).withColumn("risk", F.round("risk", 6))
     return _path(rows, "risk")
 
 
