@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ["message", "conversation"]
+_GROUPS = ["message", "conversation", "scoring"]
 
 
 def _merge(kind: str, attribute: str) -> dict:
