@@ -1,5 +1,6 @@
 """Text cleaning as Column expressions."""
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -20,6 +21,20 @@ def _replace(text: Column, pattern: str, token: str) -> Column:
     return F.regexp_replace(text, pattern, token)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Name ``value`` inside ``use``.
+
+    An expression that mentions its input several times would be multiplied by
+    every filter the optimizer pushes below it; here the input appears once.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _when(value: Column, test: Callable[[Column], Column],
+          change: Callable[[Column], Column]) -> Column:
+    return _let(value, lambda t: F.when(test(t), change(t)).otherwise(t))
+
+
 def may_hold_url(text: Column) -> Column:
     """Every URL form has a slash or starts with www."""
     return text.contains("/") | text.rlike(r"(?i)www\.")
@@ -36,8 +51,8 @@ def may_hold_phone(text: Column) -> Column:
 
 def may_hold_money(text: Column, marks: list[str]) -> Column:
     """Every amount names a currency; the long s folds to s when case is ignored."""
-    lowered = F.lower(text)
-    return reduce(or_, (lowered.contains(m) for m in marks)) | text.contains("\u017f")
+    return _let(F.lower(text), lambda low: reduce(
+        or_, (low.contains(m) for m in [*marks, "\u017f"])))
 
 
 def strip(text: Column) -> Column:
@@ -50,11 +65,11 @@ def is_blank(text: Column) -> Column:
 
 
 def normalize_urls(text: Column) -> Column:
-    return F.when(may_hold_url(text), _replace(text, K.CLEAN_URL, K.URL_TOKEN)).otherwise(text)
+    return _when(text, may_hold_url, lambda t: _replace(t, K.CLEAN_URL, K.URL_TOKEN))
 
 
 def normalize_emails(text: Column) -> Column:
-    return F.when(may_hold_email(text), _replace(text, K.EMAIL, K.EMAIL_TOKEN)).otherwise(text)
+    return _when(text, may_hold_email, lambda t: _replace(t, K.EMAIL, K.EMAIL_TOKEN))
 
 
 def mark_phones(text: Column, pattern: str) -> Column:
@@ -67,15 +82,15 @@ def has_phone(text: Column, pattern: str = K.RULE_PHONE) -> Column:
 
 
 def normalize_phones(text: Column) -> Column:
-    marked = mark_phones(text, K.CLEAN_PHONE)
-    replaced = _replace(marked, rf"{_ENOUGH_DIGITS}[^{_CLOSE}]*{_CLOSE}", K.PHONE_TOKEN)
-    return F.when(may_hold_phone(text), F.translate(replaced, _OPEN + _CLOSE, "")).otherwise(text)
+    found = rf"{_ENOUGH_DIGITS}[^{_CLOSE}]*{_CLOSE}"
+    return _when(text, may_hold_phone, lambda t: F.translate(
+        _replace(mark_phones(t, K.CLEAN_PHONE), found, K.PHONE_TOKEN), _OPEN + _CLOSE, ""))
 
 
 def normalize_money(text: Column) -> Column:
-    return F.when(
-        may_hold_money(text, K.CLEAN_MONEY_MARKS), _replace(text, K.CLEAN_MONEY, K.MONEY_TOKEN)
-    ).otherwise(text)
+    return _when(
+        text, lambda t: may_hold_money(t, K.CLEAN_MONEY_MARKS),
+        lambda t: _replace(t, K.CLEAN_MONEY, K.MONEY_TOKEN))
 
 
 def drop_irrelevant(text: Column) -> Column:
@@ -92,17 +107,15 @@ def words(text: Column) -> Column:
 
 
 def clean_steps(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the cleaned text: URL, e-mail, phone and money tokens, lower case,
-    relevant characters only.
+    """Add the cleaned text of column ``text``."""
+    return df.withColumn(out, clean_text(F.col(text)))
 
-    One projection per step: each looks at its input more than once, and the
-    optimizer does not repeat an expensive input inside a later projection.
-    """
+
+def clean_text(text: Column) -> Column:
+    """URL, e-mail, phone and money tokens, lower case, relevant characters only."""
     for step in (normalize_urls, normalize_emails, normalize_phones, normalize_money):
-        df = df.withColumn(out, step(F.col(text)))
-        text = out
-    return df.withColumn(out, F.coalesce(
-        collapse_spaces(drop_irrelevant(F.lower(F.col(out)))), F.lit("")))
+        text = step(text)
+    return F.coalesce(collapse_spaces(drop_irrelevant(F.lower(text))), F.lit(""))
 
 
 def has_content(text: Column) -> Column:

@@ -5,10 +5,12 @@ task, and a task hands on only the best ``k`` items per query.  No pair of rows
 is ever emitted, no group grows with the data, and nothing is approximated.
 """
 
+import sys
 from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,3 +169,7 @@ def search_vectors(
         "rank", F.col("item_id").alias("vec_id"), F.col("item_label").alias("label"),
         F.round("similarity", 4).alias("similarity")))).alias("top_neighbors"))
     return classes.join(nearest, "query_id").withColumnRenamed("query_id", key)
+
+
+# Task functions travel by value: executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
