@@ -23,6 +23,7 @@ DECIMALS = 6
 
 def _matrix(ids, weights, columns):
     """Dense rows of sparse vectors over the given sorted column ids."""
+    ids, weights = ids.to_numpy(), weights.to_numpy()
     sizes = [len(x) for x in ids]
     out = np.zeros((len(sizes), len(columns)))
     if sum(sizes):
@@ -37,7 +38,7 @@ def _matrix(ids, weights, columns):
 
 def _block_top(k: int, per_label: bool):
     def best(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "item_id", "item_label", "similarity"]
+        names = ["query_id", "item_id", "item_label", "similarity", "compared"]
         if queries.empty or items.empty:
             return pd.DataFrame(columns=names)
         items = items.sort_values("item_id")
@@ -48,7 +49,8 @@ def _block_top(k: int, per_label: bool):
         parts = []
         for start in range(0, len(queries), 256):
             part = queries.iloc[start:start + 256]
-            sims = np.round(_matrix(part["ids"], part["weights"], columns) @ right, DECIMALS)
+            exact = _matrix(part["ids"], part["weights"], columns) @ right
+            sims = np.round(exact, DECIMALS)
             keep = np.zeros(sims.shape, dtype=bool)
             order = np.argsort(-sims, axis=1, kind="stable")
             np.put_along_axis(keep, order[:, :k], True, axis=1)
@@ -59,7 +61,8 @@ def _block_top(k: int, per_label: bool):
             rows, cols = np.nonzero(keep)
             parts.append(pd.DataFrame({
                 "query_id": part["query_id"].to_numpy()[rows], "item_id": item_ids[cols],
-                "item_label": labels[cols], "similarity": sims[rows, cols]}))
+                "item_label": labels[cols], "similarity": exact[rows, cols],
+                "compared": sims[rows, cols]}))
         return pd.concat(parts)[names]
     return best
 
@@ -67,7 +70,10 @@ def _block_top(k: int, per_label: bool):
 def block_neighbours(
     queries: DataFrame, items: DataFrame, k: int, per_label: bool = False,
 ) -> DataFrame:
-    """Candidate rows ``(query_id, item_id, item_label, similarity)``.
+    """Candidate rows ``(query_id, item_id, item_label, similarity, compared)``.
+
+    ``compared`` is the similarity to six decimals, by which items are ordered, so
+    that copies of an item tie and the lower id wins.
 
     ``queries``: ``query_id, ids, weights``; ``items``: ``item_id, item_label, ids,
     weights``; vectors have unit length.  The result holds the ``k`` best items of
@@ -89,7 +95,7 @@ def block_neighbours(
         left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block"))
         .applyInPandas(
             _block_top(k, per_label),
-            "query_id bigint, item_id bigint, item_label int, similarity double")
+            "query_id bigint, item_id bigint, item_label int, similarity double, compared double")
     )
 
 
@@ -115,8 +121,8 @@ def query_cases(
     legitimate, because the share is taken over ``k``.
     """
     found = block_neighbours(_sides(vectors, key, "query_id"), cases, k).filter(
-        F.col("similarity") > 0)
-    top = top_per_group(found, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
+        F.col("compared") > 0)
+    top = top_per_group(found, ["query_id"], [F.desc("compared"), F.col("item_id")], k)
     ordered = F.sort_array(F.collect_list(F.struct("rank", "item_label", "similarity")))
     summed = top.groupBy("query_id").agg(
         F.round(F.sum("item_label") / F.lit(float(k)), 4).alias("cbr_score"),
@@ -164,7 +170,7 @@ def search_vectors(
     classes = found.groupBy("query_id").agg(
         F.round(best(fraud_label), 4).alias("fraud_similarity"),
         F.round(best(legit_label), 4).alias("legit_similarity"))
-    top = top_per_group(found, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
+    top = top_per_group(found, ["query_id"], [F.desc("compared"), F.col("item_id")], k)
     nearest = top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "rank", F.col("item_id").alias("vec_id"), F.col("item_label").alias("label"),
         F.round("similarity", 4).alias("similarity")))).alias("top_neighbors"))

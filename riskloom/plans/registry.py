@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ["message", "conversation", "scoring"]
+_GROUPS = ["message", "conversation", "scoring", "learning"]
 
 
 def _merge(kind: str, attribute: str) -> dict:

@@ -54,22 +54,22 @@ bayes AS (SELECT {keys}, round(exp(a - greatest(a, b)) / (exp(a - greatest(a, b)
 
 _CASES = f"""{_CLEAN_LAB}, {_tfs('clab', 'ltf')}, {_vocab('ltf', 'clab')}, {_weights('ltf', 'lw')},
 {_CLEAN_DOCS}, {_tfs('cdocs', 'dtf')}, {_weights('dtf', 'dw')},
-sims AS (SELECT d.msg_id, c.msg_id AS case_id, round(sum(d.weight * c.weight), 6) AS sim
+sims AS (SELECT d.msg_id, c.msg_id AS case_id, round(sum(d.weight * c.weight), 6) AS sim, sum(d.weight * c.weight) AS raw
   FROM dw d JOIN lw c USING (term) GROUP BY d.msg_id, c.msg_id),
 near AS (SELECT s.*, CASE WHEN label = 'fraudulent' THEN 1 ELSE 0 END AS lab FROM (
   SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY sim DESC, case_id) AS k FROM sims WHERE sim > 0) s
   JOIN clab ON clab.msg_id = s.case_id WHERE k <= 7),
 cases AS (SELECT cdocs.msg_id, coalesce(round(sum(lab) / 7.0::DOUBLE, 4), 0) AS cbr_score,
-  coalesce(string_agg(lab, ',' ORDER BY k), '') AS top_k_labels, coalesce(round(sum(round(sim, 4)), 4), 0) AS similarity_sum,
-  coalesce(round(max(sim), 4), 0) AS most_similar FROM cdocs LEFT JOIN near ON near.msg_id = cdocs.msg_id GROUP BY cdocs.msg_id)"""
+  coalesce(string_agg(lab, ',' ORDER BY k), '') AS top_k_labels, coalesce(round(sum(round(raw, 4)), 4), 0) AS similarity_sum,
+  coalesce(round(max(raw), 4), 0) AS most_similar FROM cdocs LEFT JOIN near ON near.msg_id = cdocs.msg_id GROUP BY cdocs.msg_id)"""
 
 _SAMPLE = """ref AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM (SELECT *, row_number() OVER (
   PARTITION BY label ORDER BY (vec_id * 48271 + 42 * 69621) % 2147483647, vec_id) AS k FROM embeddings) WHERE k <= 500)"""
-_SEARCH = f"""{_SAMPLE}, vsims AS (SELECT q.vec_id, r.vec_id AS ref_id, r.label, round(list_dot_product(q.e, r.e)
-    / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(r.e, r.e))), 6) AS sim
+_SEARCH = f"""{_SAMPLE}, vsims AS (SELECT q.vec_id, r.vec_id AS ref_id, r.label, list_dot_product(q.e, r.e)
+    / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(r.e, r.e))) AS raw, round(raw, 6) AS sim
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) q CROSS JOIN ref r),
-best AS (SELECT vec_id, coalesce(round(max(sim) FILTER (label = 1), 4), 0) AS fraud_similarity,
-  coalesce(round(max(sim) FILTER (label = 0), 4), 0) AS legit_similarity FROM vsims GROUP BY vec_id)"""
+best AS (SELECT vec_id, coalesce(round(max(raw) FILTER (label = 1), 4), 0) AS fraud_similarity,
+  coalesce(round(max(raw) FILTER (label = 0), 4), 0) AS legit_similarity FROM vsims GROUP BY vec_id)"""
 
 _INPUTS = f"""{_CASES}, {_BAYES_FIT.removeprefix(_CLEAN_LAB + ', ')}, {_posterior('docs', 'msg_id')},
 {X.scored_cte('docs')}, {_SEARCH},
