@@ -197,7 +197,7 @@ def _linear(spark, folder):
     both = long.join(T.labels(spark, folder), "msg_id")
     mean = lambda c: F.avg(F.when(F.col("label") == c, F.col("value")))
     weights = both.groupBy("feature").agg(
-        F.round(mean(K.FRAUDULENT) - mean(K.LEGITIMATE), 6).alias("coefficient"))
+        F.round(mean(K.FRAUDULENT) - mean(K.LEGITIMATE), 4).alias("coefficient"))
     return long, weights
 
 

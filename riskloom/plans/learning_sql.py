@@ -35,13 +35,13 @@ _PERTURB = f"""{X.DOCS}, fan AS (SELECT msg_id, t, w, v AS variant, (msg_id * 31
   FROM (SELECT msg_id, t, {X.words('t')} AS w FROM docs) CROSS JOIN range(10) g(v)),
 spot AS (SELECT *, CASE WHEN kd = 0 AND len(lo) > 0 THEN lo[r % len(lo) + 1]
   WHEN kd = 1 THEN CASE WHEN len(sh) > 0 THEN sh[r % len(sh) + 1] WHEN len(w) > 0 THEN r % len(w) + 1 END
-  WHEN kd = 3 AND len(w) > 0 THEN r % len(w) + 1 END AS at FROM fan),
-cutp AS (SELECT *, w[at] AS x, (r // 7) % greatest(length(w[at]) - 1, 1) AS c FROM spot),
+  WHEN kd = 3 AND len(w) > 0 THEN r % len(w) + 1 END AS pt FROM fan),
+cutp AS (SELECT *, w[pt] AS x, (r // 7) % greatest(length(w[pt]) - 1, 1) AS c FROM spot),
 changed AS (SELECT *, CASE
-  WHEN kd = 0 AND at IS NOT NULL THEN {_JOIN.format("list_transform(w, lambda y, i: CASE WHEN i = at THEN substring(x, 1, c) || substring(x, c + 2, 1) || substring(x, c + 1, 1) || substring(x, c + 3) ELSE y END)")}
-  WHEN kd = 1 AND len(w) > 2 THEN {_JOIN.format("list_concat(w[1:at - 1], w[at + 1:])")}
+  WHEN kd = 0 AND pt IS NOT NULL THEN {_JOIN.format("list_transform(w, lambda y, i: CASE WHEN i = pt THEN substring(x, 1, c) || substring(x, c + 2, 1) || substring(x, c + 1, 1) || substring(x, c + 3) ELSE y END)")}
+  WHEN kd = 1 AND len(w) > 2 THEN {_JOIN.format("list_concat(w[1:pt - 1], w[pt + 1:])")}
   WHEN kd = 2 THEN {_JOIN.format("list_concat(w[1:r % (len(w) + 1)], [" + X.array(K.FILLER_WORDS) + "[(r // 11) % 14 + 1]], w[r % (len(w) + 1) + 1:])")}
-  WHEN kd = 3 AND at IS NOT NULL THEN {_JOIN.format("list_transform(w, lambda y, i: CASE WHEN i = at THEN CASE WHEN x = lower(x) AND x <> upper(x) THEN upper(x) WHEN x = upper(x) AND x <> lower(x) THEN lower(x) ELSE array_to_string(list_transform(string_split(x, ''), lambda ch: CASE WHEN ch = lower(ch) THEN upper(ch) ELSE lower(ch) END), '') END ELSE y END)")}
+  WHEN kd = 3 AND pt IS NOT NULL THEN {_JOIN.format("list_transform(w, lambda y, i: CASE WHEN i = pt THEN CASE WHEN x = lower(x) AND x <> upper(x) THEN upper(x) WHEN x = upper(x) AND x <> lower(x) THEN lower(x) ELSE array_to_string(list_transform(string_split(x, ''), lambda ch: CASE WHEN ch = lower(ch) THEN upper(ch) ELSE lower(ch) END), '') END ELSE y END)")}
   WHEN kd = 4 THEN {_SYNONYM} ELSE t END AS out FROM cutp),
 variants AS (SELECT msg_id, CAST(variant AS INTEGER) AS variant,
   ['swap_chars', 'delete_word', 'insert_filler', 'change_case', 'synonym_swap'][kd + 1] AS kind, {_VARIANT_FIX} AS message FROM changed)"""
@@ -124,7 +124,7 @@ _FEAT = _features_sql("labelled").split("\nSELECT msg_id, ", 1)
 _LINEAR = f"""{X.LABELLED}, {_FEAT[0]}, wide AS (SELECT msg_id, {_FEAT[1]}),
 long AS (""" + " UNION ALL ".join(
     f"SELECT msg_id, '{n}' AS feature, {n} AS value FROM wide" for n in K.MANUAL_FEATURES) + """),
-coef AS (SELECT feature, round(avg(value) FILTER (label = 'fraudulent') - avg(value) FILTER (label = 'legitimate'), 6) AS coefficient
+coef AS (SELECT feature, round(avg(value) FILTER (label = 'fraudulent') - avg(value) FILTER (label = 'legitimate'), 4) AS coefficient
   FROM long JOIN (SELECT msg_id, label FROM labelled) USING (msg_id) GROUP BY feature),
 contrib AS (SELECT msg_id, feature, value * coefficient AS contribution FROM long JOIN coef USING (feature))"""
 SQL["n1_contributions"] = f"""WITH {_LINEAR} SELECT *, CASE WHEN contribution > 0 THEN 'fraud' ELSE 'legit' END AS direction FROM (
