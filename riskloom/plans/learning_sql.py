@@ -41,7 +41,7 @@ changed AS (SELECT *, CASE
   WHEN kd = 0 AND pt IS NOT NULL THEN {_JOIN.format("list_transform(w, lambda y, i: CASE WHEN i = pt THEN substring(x, 1, c) || substring(x, c + 2, 1) || substring(x, c + 1, 1) || substring(x, c + 3) ELSE y END)")}
   WHEN kd = 1 AND len(w) > 2 THEN {_JOIN.format("list_concat(w[1:pt - 1], w[pt + 1:])")}
   WHEN kd = 2 THEN {_JOIN.format("list_concat(w[1:r % (len(w) + 1)], [" + X.array(K.FILLER_WORDS) + "[(r // 11) % 14 + 1]], w[r % (len(w) + 1) + 1:])")}
-  WHEN kd = 3 AND pt IS NOT NULL THEN {_JOIN.format("list_transform(w, lambda y, i: CASE WHEN i = pt THEN CASE WHEN x = lower(x) AND x <> upper(x) THEN upper(x) WHEN x = upper(x) AND x <> lower(x) THEN lower(x) ELSE array_to_string(list_transform(string_split(x, ''), lambda ch: CASE WHEN ch = lower(ch) THEN upper(ch) ELSE lower(ch) END), '') END ELSE y END)")}
+  WHEN kd = 3 AND pt IS NOT NULL THEN {_JOIN.format("list_transform(w, lambda y, i: CASE WHEN i = pt THEN CASE WHEN x = lower(x) AND x <> upper(x) THEN replace(replace(upper(x), 'ß', 'SS'), 'ẞ', 'SS') WHEN x = upper(x) AND x <> lower(x) THEN lower(x) ELSE array_to_string(list_transform(string_split(x, ''), lambda ch: CASE WHEN ch = lower(ch) THEN replace(replace(upper(ch), 'ß', 'SS'), 'ẞ', 'SS') ELSE lower(ch) END), '') END ELSE y END)")}
   WHEN kd = 4 THEN {_SYNONYM} ELSE t END AS out FROM cutp),
 variants AS (SELECT msg_id, CAST(variant AS INTEGER) AS variant,
   ['swap_chars', 'delete_word', 'insert_filler', 'change_case', 'synonym_swap'][kd + 1] AS kind, {_VARIANT_FIX} AS message FROM changed)"""

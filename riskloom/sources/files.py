@@ -25,12 +25,8 @@ def _read(spark: SparkSession, path: str, header: bool, encoding: str) -> DataFr
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Read a delimited file; Latin-1 where it is not UTF-8; with or without header.
-
-    Text that is not UTF-8 decodes to replacement characters, which is looked for
-    in the lines of the file.
-    """
-    broken = spark.read.text(path).filter(F.col("value").contains("�"))
+    """Read a delimited file; Latin-1 where it is not UTF-8; with or without header."""
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     encoding = "ISO-8859-1" if not broken.isEmpty() else "UTF-8"
     df = _read(spark, path, True, encoding)
     if df.columns:
