@@ -156,6 +156,7 @@ RULE_MONEY = (
     rf"|(?<![{D},.])[{D},.]++{S}*+(?:\$|€|£|¥)"
     rf"|(?<![{WORD}]){D}[{D},.]*+{S}*+(?:{AMOUNT_UNIT})(?![{WORD}])"
 )
+ENTITY_MONEY_MARKS = ["$", "€", "£", "mxn", "usd", "peso", "dólar", "dollar", "euro"]
 RULE_MONEY_MARKS = ["$", "€", "£", "¥", "peso", "dólar", "dollar", "euro"]
 ENTITY_AMOUNT = (
     rf"(?iu)(?:\$|€|£|MXN|USD){S}?{D}[{D},.]*"

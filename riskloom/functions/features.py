@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions import entities
 from riskloom.functions.rules import exclamations, has_email
+from riskloom.functions.text import may_hold_money, may_hold_url
 from riskloom.functions.words import contains_any
 
 
@@ -58,9 +59,11 @@ def with_manual_features(df: DataFrame, text: str = "message") -> DataFrame:
     t = F.col("_raw")
     df = df.withColumns({
         "_phones": F.regexp_count(t, F.lit(K.ENTITY_PHONE)),
-        "_amounts": F.regexp_count(t, F.lit(K.ENTITY_AMOUNT)),
+        "_amounts": F.when(
+            may_hold_money(t, K.ENTITY_MONEY_MARKS), F.regexp_count(t, F.lit(K.ENTITY_AMOUNT))
+        ).otherwise(0),
         "_others": reduce(add, (
-            F.regexp_count(t, F.lit(K.ENTITY_URL)),
+            F.when(may_hold_url(t), F.regexp_count(t, F.lit(K.ENTITY_URL))).otherwise(0),
             F.regexp_count(t, F.lit(K.ENTITY_BANK)),
             F.size(entities.accounts(t)),
         )),
