@@ -42,7 +42,7 @@ def targets(sized: DataFrame) -> DataFrame:
     above = F.sum("_weight").over(rising.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumn("_line", (F.sum("source_size").over(everything) * SHARE - before) / above) \
         .withColumn("_stopped", F.col("_most") <= F.col("_line") * F.col("_weight"))
-    line = F.min(F.when(~F.col("_stopped"), F.col("_line"))).over(everything)
+    line = F.max("_line").over(everything)  # it rises up to the first source that isn't stopped, then falls
     return rows.select("source", "source_size",
                        F.when(F.col("_stopped"), F.col("_most")).otherwise(line * F.col("_weight")).alias("target"))
 
