@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, mixing, quality_net, quality_rules, toxicity_net, url_filter
+from riskloom.llm import bpe, license_scan, mixing, quality_net, quality_rules, secret_scan, toxicity_net, url_filter
 from riskloom.llm.common import table
 
 
@@ -23,15 +23,24 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, folder, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, folder, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(table(spark, folder, "documents")).drop("times")
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_net.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 QUERIES = {
     f.__name__: f for f in (
-        op2_bpe, op3_quality_classifier, op4_url_filter, op5_quality_rules, op7_source_mixing, op9_toxicity)
+        op2_bpe, op3_quality_classifier, op4_url_filter, op5_quality_rules,
+        op6_secret_scan, op7_source_mixing, op8_license_scan, op9_toxicity)
 }
