@@ -3,7 +3,8 @@
 1. Every text becomes its set of shingle hashes; equal sets form a class, and the
    smallest id stands for it. A sketch keeps the smallest hashes of the set.
 2. Close copies are set aside: a document that agrees with an earlier one on a few
-   small hashes, and by exact Jaccard lies within ``BALL`` of it, joins its ball. Large
+   small hashes, and by exact Jaccard lies within half the linking distance of it,
+   joins its ball, whose members all link. Large
    groups of near copies shrink to few leaders in linear work. The Jaccard distance is
    a metric, so bounds between members follow from those between leaders.
 3. Inverted lists of the leaders' retained values generate overlaps. Values in more
@@ -19,11 +20,12 @@ The filters before exact Jaccard are set six standard deviations below the thres
 with 32 retained values the chance to miss a pair at the threshold is below 1e-9.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import row_map
@@ -35,7 +37,6 @@ SKETCH = 64       # smallest hashes kept for the estimate
 RETAINED = 32     # of them in inverted lists
 LIGHT = 200       # documents up to which an inverted list is not common
 BANDS = 6         # keys of four small hashes each by which close copies meet
-BALL = 0.075      # largest distance from a leader; two members are then within 0.15
 SALTS = 8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -139,6 +140,12 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return row_map(both, work, "a bigint, b bigint, common bigint, total bigint")
 
 
+def _least_agreement(similarity: float) -> int:
+    """Of 128 sign bits, six deviations below what sets of this similarity agree on."""
+    p = (1 + similarity) / 2
+    return math.floor(128 * p - 6 * math.sqrt(128 * p * (1 - p)))
+
+
 def _agree(x: str, y: str) -> Column:
     return F.expr(f"128 - bit_count({x}.sign1 ^ {y}.sign1) - bit_count({x}.sign2 ^ {y}.sign2)")
 
@@ -147,15 +154,16 @@ def _alike(x: str, y: str, least: Column) -> Column:
     return F.expr(f"least({x}.n_shingles, {y}.n_shingles)") >= least * F.expr(f"greatest({x}.n_shingles, {y}.n_shingles)")
 
 
-def balls(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def balls(sets: DataFrame, docs: DataFrame, size: int, ball: float) -> DataFrame:
     """(a, b, common, total): documents b measured against the leader a that their keys propose."""
     keys = sets.select("doc_id", "n_shingles", "sign1", "sign2", F.explode("bands").alias("key"))
     leads = staged(keys.groupBy("key").agg(
         F.min(F.struct("doc_id", "n_shingles", "sign1", "sign2")).alias("l"), F.count("*").alias("n"))
         .filter("n > 1").select("key", "l.*"), "leads")
     met = keys.alias("d").join(leads.alias("l"), "key") \
-        .filter(F.expr("l.doc_id < d.doc_id") & _alike("d", "l", F.lit(1 - BALL))) \
-        .select("d.doc_id", F.col("l.doc_id").alias("lead"), _agree("d", "l").alias("agree")).filter("agree >= 112")
+        .filter(F.expr("l.doc_id < d.doc_id") & _alike("d", "l", F.lit(1 - ball))) \
+        .select("d.doc_id", F.col("l.doc_id").alias("lead"), _agree("d", "l").alias("agree")).filter(
+            F.col("agree") >= _least_agreement(1 - ball))
     parents = staged(met.groupBy("doc_id").agg(F.max(F.struct("agree", (-F.col("lead")).alias("behind"))).alias("m"))
                      .select("doc_id", (-F.col("m.behind")).alias("lead")), "parents")
     found = parents
@@ -175,7 +183,8 @@ def overlaps(leaders: DataFrame, percent: int) -> DataFrame:
     shared = staged(lists.join(counts, "value"), "postings")
     radii = F.expr("x.radius + y.radius")
     close = _alike("x", "y", F.lit(percent / 100) - radii - 1e-9) \
-        & (_agree("x", "y") >= F.when(radii > 0, 84).otherwise(100))
+        & (_agree("x", "y") >= F.when(radii > 0, _least_agreement(2 * percent / 100 - 1))
+                                  .otherwise(_least_agreement(percent / 100)))
     light = shared.filter(F.col("n_list") <= LIGHT)
     pairs = light.alias("x").join(light.alias("y"), F.expr("x.value = y.value AND x.doc_id < y.doc_id") & close) \
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), radii.alias("radii"))
@@ -209,22 +218,23 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFra
     """doc_id, n_shingles, component_id, kept of every row of ``docs``.
 
     Documents link where the Jaccard similarity of their sets of ``size``-word shingles
-    is at least ``percent`` (85 or more). Null texts, empty texts and texts without words
+    is at least ``percent`` (80 or more). Null texts, empty texts and texts without words
     have no shingles and link with nothing. Rows of one id are one node; repeated rows
     get equal results. A null id links with nothing, has no component and is kept. Only
     doc_id and text are read. An empty table gives an empty result.
     """
-    if percent < 85:
-        raise ValueError("balls are sized for similarities of 85 percent and more")
+    if not 80 <= percent <= 100:
+        raise ValueError("the filters suit similarities of 80 percent and more")
+    ball = (1 - percent / 100) / 2
     figures = staged(sketched(docs, size), "sketches")
     filled = figures.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     sets = staged(filled.alias("d").join(
         classes.alias("c"), F.expr("d.fp1 = c.fp1 AND d.fp2 = c.fp2 AND d.doc_id = c.rep")).select("d.*"), "sets")
-    measured = balls(sets, docs, size)
+    measured = balls(sets, docs, size, ball)
     distance = 1 - F.col("common") / F.col("total")
     linked = F.col("common") * 100 >= F.col("total") * percent
-    inside = measured.withColumn("far", distance).filter(F.col("far") <= BALL)
+    inside = measured.withColumn("far", distance).filter(F.col("far") <= ball)
     members = inside.select(F.col("b").alias("doc_id"), F.col("a").alias("lead"), "far")
     radius = members.groupBy("lead").agg(F.max("far").alias("radius"))
     leaders = staged(sets.join(members.select("doc_id"), "doc_id", "left_anti").alias("s")
@@ -246,7 +256,7 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFra
             .join(sets.select("doc_id", "n_shingles", "sign1", "sign2"), "doc_id")
         between = apart.alias("p").join(every.alias("x"), F.expr("p.a = x.lead")).join(
             every.alias("y"), F.expr(f"p.b = y.lead AND x.far + y.far >= p.far - {1 - percent / 100} - 1e-9")
-            & _alike("x", "y", F.lit(percent / 100 - 1e-9)) & (_agree("x", "y") >= 100)) \
+            & _alike("x", "y", F.lit(percent / 100 - 1e-9)) & (_agree("x", "y") >= _least_agreement(percent / 100))) \
             .filter("NOT (x.doc_id = p.a AND y.doc_id = p.b)") \
             .select(F.expr("least(x.doc_id, y.doc_id) AS a"), F.expr("greatest(x.doc_id, y.doc_id) AS b")).distinct()
         late = staged(verified(staged(between, "between"), docs, size), "late").filter(linked).select("a", "b")
@@ -256,3 +266,11 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFra
     return out.alias("d").join(nodes.alias("n"), F.expr("d.rep = n.node"), "left").select(
         "d.doc_id", "d.n_shingles", F.expr("coalesce(n.component, d.rep)").alias("component_id"),
         F.expr("coalesce(d.doc_id = coalesce(n.component, d.rep), true)").alias("kept"))
+
+
+def keep_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group with all its columns; of repeated rows one stays."""
+    kept = link_documents(docs, size, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.monotonically_increasing_id())
+    stay = docs.join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(order)).filter("_copy = 1")
+    return stay.select(*docs.columns).union(docs.filter("doc_id IS NULL"))

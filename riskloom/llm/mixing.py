@@ -18,10 +18,14 @@ MOST = 2              # times its source's size at most
 BUCKETS = 1024
 
 
+def word_count():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size of every row; size counts words, null has none."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source",
-                       F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+                       word_count().alias("size"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -90,14 +94,30 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``.
+    """doc_id, source, size, source_size, target, taken, times of every row of ``docs``.
 
     ``taken`` is 0, 1 or 2 times the size. A source whose target passes its size is taken
     once as a whole and then fills the rest from a second pass. Null texts and texts
     without words have size 0; null sources are one source, the last; repeated rows count
     each. A pick depends on seed, id and length only, so reruns agree. Empty table: empty.
     """
-    sized = sizes(docs)
+    return _mixed(sizes(docs), seed)
+
+
+def take_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix itself: every document as often as it is taken, all columns."""
+    keys = ["doc_id", "source", "size"]
+    times = _mixed(sizes(docs), seed).filter("times > 0")
+    times = times.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("times"))))
+    copies = Window.partitionBy(F.col("doc_id"), F.col("source"), F.col("_size")).orderBy(F.xxhash64("text"))
+    rows = docs.withColumn("_size", word_count()).withColumn("_copy", F.row_number().over(copies))
+    met = rows.alias("d").join(times.alias("t"), F.expr(
+        "d.doc_id <=> t.doc_id AND d.source <=> t.source AND d._size = t.size AND d._copy = t._copy"))
+    return met.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("t.times").cast("int")))) \
+        .select(*[F.col("d." + c) for c in docs.columns])
+
+
+def _mixed(sized: DataFrame, seed: int) -> DataFrame:
     goal = targets(sized)
     pick = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int"))
     counted = pick.groupBy("source", "size", "_bucket").agg(F.count("*").alias("_n"))
@@ -126,4 +146,4 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
                                .orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
     times = F.col("_passes") + (F.col("_rank") <= F.col("_left")).cast("long")
     return rows.withColumn("_rank", rank).select(
-        "doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+        "doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))

@@ -3,10 +3,15 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, license_scan, mixing, quality_net, quality_rules, secret_scan, toxicity_net, url_filter
+from riskloom.llm import (
+    bpe, cover_tree, license_scan, minhash, mixing, quality_net, quality_rules, secret_scan, toxicity_net, url_filter)
 from riskloom.llm.common import table
 
 
+def op1_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.link_vectors(table(spark, folder, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -28,7 +33,7 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, folder, "documents")).drop("times")
+    return mixing.mix_documents(table(spark, folder, "documents")).drop("times", "source")
 
 
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,8 +44,12 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_net.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.link_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op2_bpe, op3_quality_classifier, op4_url_filter, op5_quality_rules,
-        op6_secret_scan, op7_source_mixing, op8_license_scan, op9_toxicity)
+        op1_cover_tree, op2_bpe, op3_quality_classifier, op4_url_filter, op5_quality_rules,
+        op6_secret_scan, op7_source_mixing, op8_license_scan, op9_toxicity, op10_minhash)
 }
