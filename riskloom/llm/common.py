@@ -1,6 +1,9 @@
 """Small things that several operators share."""
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,22 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(True))
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark carry the package to its Python workers, once for an application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}-code.zip"
+        with zipfile.ZipFile(target, "w") as packed:
+            for source in sorted(root.rglob("*.py")):
+                packed.write(source, f"{root.name}/{source.relative_to(root)}")
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
+
+
 def row_map(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     """``work(batch) -> batch`` over Arrow batches."""
 
@@ -24,6 +43,7 @@ def row_map(df: DataFrame, work: Callable, schema: str) -> DataFrame:
             if batch.num_rows:
                 yield work(batch)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import row_map
+from riskloom.llm.common import row_map, ship_package
 from riskloom.llm.graph import components
 from riskloom.session import staged
 
@@ -301,6 +301,7 @@ def _linked(classes: DataFrame, dims: int, least: float) -> DataFrame:
         tree = Tree.built(part["rep"].to_numpy(), part["weight"].to_numpy(), x)
         return pd.DataFrame([{"cell": part["cell"].iloc[0], "cut": part["cut"].iloc[0]} | tree.packed()])
 
+    ship_package(spark)
     blocks = staged(placed.withColumn("cut", cut).groupBy("cell", "cut").applyInPandas(
         pack, "cell int, cut int, " + _PACKED), "blocks")
     reach = float(np.sqrt(2 - 2 * least))

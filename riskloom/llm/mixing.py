@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import ship_package
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)   # by the order of sources, repeating
 SHARE = 1.5           # of all sizes that the mix takes
@@ -133,6 +135,7 @@ def _mixed(sized: DataFrame, seed: int) -> DataFrame:
         part["_passes"] = passes
         return part
 
+    ship_package(sized.sparkSession)
     planned = joined.groupBy("source").applyInPandas(
         plan, "source string, size bigint, _n bigint, source_size bigint, target double, _take bigint, _passes bigint")
     before = F.sum("_n").over(Window.partitionBy("source", "size").orderBy("_bucket")) - F.col("_n")

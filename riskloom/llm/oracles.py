@@ -1,3 +1,162 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express, over whole tables."""
 
-SQL: dict[str, str] = {}
+from riskloom.llm import license_scan, quality_rules, secret_scan
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+
+#: Links (a, b) both ways and nodes (id) in; smallest reachable id of every node out.
+_COMPONENTS = """
+reached AS (
+  SELECT id AS a, id AS b FROM nodes
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+components AS (SELECT a AS id, min(b) AS component_id FROM reached GROUP BY a)"""
+
+OP1 = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.id AS a, y.id AS b FROM vectors x JOIN vectors y
+    ON x.id <> y.id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept
+FROM components LEFT JOIN counts ON a = id"""
+
+OP10 = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3
+    THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, chr(32))] ELSE [] END) AS s FROM texts),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS met
+  FROM items x JOIN items y ON x.v = y.v AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * met >= 85 * (na + nb - met)),
+nodes AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN components ON doc_id = id"""
+
+OP5 = rf"""
+WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines
+  FROM documents),
+triples AS (
+  SELECT doc_id, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+repeated AS (SELECT doc_id, i FROM triples QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY doc_id),
+single AS (
+  SELECT doc_id, source, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D[:punct:]0-9]+', ' ', 'g')) AS h,
+    len(regexp_extract_all(l, '{_WORD}')) AS words
+  FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM texts)),
+found AS (SELECT source, h, count(DISTINCT text) AS n FROM single GROUP BY source, h HAVING count(DISTINCT text) > {quality_rules.LINE_LEAST}),
+hosts AS (SELECT source, count(DISTINCT text) AS n_all FROM texts GROUP BY source),
+boiler AS (
+  SELECT f.source, f.h FROM found f JOIN hosts USING (source) WHERE n > {quality_rules.LINE_SHARE} * n_all),
+lost AS (SELECT doc_id, sum(words) AS n FROM single SEMI JOIN boiler USING (source, h) GROUP BY doc_id),
+figures AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    (len(w) - coalesce(l.n, 0))::BIGINT AS words_left
+  FROM texts LEFT JOIN covered c USING (doc_id) LEFT JOIN lost l USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {quality_rules.LEAST_WORDS}
+    OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words AS base_failed FROM figures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND words_left >= {quality_rules.WORDS_LEFT} * n_words AS kept, words_left
+FROM judged"""
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _op6() -> str:
+    def matches(number: int, pattern: str, test: str) -> str:
+        return rf"""
+  SELECT doc_id, {number} AS kind, start, start + length(found) AS stop, found FROM (
+    SELECT doc_id, split_part(piece, chr(2), 1) AS found,
+      sum(length(piece) - (nr > 1)::INT) OVER (PARTITION BY doc_id ORDER BY nr) - length(piece) + (nr > 1)::INT AS start, nr
+    FROM (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS nr FROM (
+      SELECT doc_id, string_split(regexp_replace(text, '({_quoted(pattern)})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS pieces
+      FROM texts))) WHERE nr > 1 AND ({test})"""
+
+    value = _quoted(secret_scan.ASSIGN_VALUE)
+    allowed = " OR ".join(f"regexp_matches(found, '{_quoted(p)}')" for p in secret_scan.ALLOWED)
+    kinds = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
+    written = f"string_agg({kinds}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return rf"""
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS text FROM documents),
+base AS ({matches(0, secret_scan.ASSIGN, f"length(regexp_replace(found, '{value}', '')) >= {secret_scan.LEAST_VALUE}")}
+  UNION ALL {matches(1, secret_scan.ACCESS, f"length(found) >= {secret_scan.LEAST_ACCESS}")}
+  UNION ALL {matches(2, secret_scan.HEX, "true")}),
+long AS ({matches(3, secret_scan.CANDIDATE, f"NOT ({allowed})")}),
+free AS (
+  SELECT * FROM long c WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)),
+shown AS (SELECT *, unnest(range(1, length(found) - {secret_scan.WINDOW - 2})) AS w FROM free),
+letters AS (SELECT doc_id, start, stop, found, w, c, count(*) / {secret_scan.WINDOW}.0 AS p FROM (
+  SELECT doc_id, start, stop, found, w, unnest(string_split(substr(found, w, {secret_scan.WINDOW}), '')) AS c FROM shown)
+  GROUP BY ALL),
+best AS (SELECT doc_id, start, stop, found, max(h) AS h FROM (
+  SELECT doc_id, start, stop, found, w, -sum(p * log2(p)) AS h FROM letters GROUP BY ALL) GROUP BY ALL),
+every AS (
+  SELECT doc_id, kind, start, stop FROM base UNION ALL
+  SELECT doc_id, 3, start, stop FROM best WHERE h >= CASE WHEN regexp_matches(found, '^[0-9a-fA-F]+$')
+    THEN {secret_scan.HEX_BITS} ELSE {secret_scan.MIXED_BITS} END - 1e-9),
+figures AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
+    {written.replace(" ORDER", " ORDER", 1)} FILTER (kind < 3) AS b, {written} AS s FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM documents d LEFT JOIN figures f USING (doc_id)"""
+
+
+def _op8() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS nr, '{label}' AS label FROM numbered WHERE "
+        + " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase))
+        for phrase, label in license_scan.PHRASES.items())
+    templates = ", ".join(
+        f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}], "
+        f"{license_scan.needed(sorted(set(text.split())), license_scan.THRESHOLD)})"
+        for k, (label, text) in enumerate(license_scan.TEMPLATES))
+    cut = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, {_LOW} AS low, regexp_extract_all({_LOW}, '{cut}') AS w FROM documents),
+numbered AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts),
+places AS ({places}),
+base AS (
+  SELECT doc_id, count(*) AS n, min(nr) AS first_word, max(nr) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, generate_subscripts(ls, 1) AS k, regexp_extract_all(unnest(ls), '{cut}') AS w
+  FROM (SELECT doc_id, string_split(low, chr(10)) AS ls FROM texts)),
+blocks AS (
+  SELECT doc_id, list_distinct(w || coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY k), [])) AS b FROM lines),
+templates(number, label, t, need) AS (VALUES {templates}),
+shares AS (
+  SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
+  WHERE len(list_intersect(b, t)) >= need),
+labelled AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM shares UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce((SELECT max(share) FROM shares s WHERE s.doc_id = t.doc_id), 0) END::DOUBLE AS score
+FROM texts t LEFT JOIN base b USING (doc_id) LEFT JOIN labelled l USING (doc_id)"""
+
+
+SQL = {"op1_cover_tree": OP1, "op5_quality_rules": OP5, "op6_secret_scan": _op6(),
+       "op8_license_scan": _op8(), "op10_minhash": OP10}
