@@ -4,18 +4,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
-from riskloom.session import spread
-
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the session's partitions, by no key, at every size alike.
+
+    Text work is bound by CPU, and a file of a single row group is a single task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").select(
+    return dealt(read(spark, folder, "documents").select(
         F.col("doc_id").alias("msg_id"), F.col("text").alias("message"), "lang", "source"
-    )
-    return spread(docs, "msg_id")
+    ))
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,11 +37,10 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns; ``turn`` counts from 0 without gaps."""
-    rows = read(spark, folder, "conversations").select(
+    return dealt(read(spark, folder, "conversations").select(
         "conv_id", F.col("turn").cast("int").alias("turn"),
         F.col("role").alias("sender"), F.col("text"),
-    )
-    return spread(rows, "conv_id", "turn")
+    ))
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

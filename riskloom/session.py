@@ -1,4 +1,4 @@
-"""Session helpers: a tuned local session, scratch space, small-input spreading."""
+"""Session helpers: a local session and scratch space."""
 
 import tempfile
 import uuid
@@ -15,7 +15,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -27,15 +26,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a local one is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only on one machine (tests, a
+    laptop) a temporary folder stands in: executors elsewhere could not see it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        current = spark.sparkContext.getCheckpointDir()
-        configured = current or tempfile.mkdtemp(prefix="riskloom-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="riskloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -45,27 +46,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back several times."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on inputs smaller than one scan split per core.
-
-    Text work is CPU bound, so a 15 MB file read as a single split would keep
-    one core busy.  Inputs with enough splits are returned unchanged: at scale
-    this adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -10,4 +10,4 @@ from riskloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", 4)
+    return local_session("4", 4, spark__driver__memory="6g")
