@@ -3,6 +3,8 @@
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,27 +30,16 @@ def fold(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), source, target)
 
 
-def _join_words(n: int):
-    def build(word: Column, i: Column) -> Column:
-        return F.concat_ws(" ", word, *[F.get(F.col("_words"), i + j) for j in range(1, n)])
-    return build
-
-
 def _term_runs(df: DataFrame, columns: list, text: str, ngrams: tuple[int, int]) -> DataFrame:
     """``(*columns, _grams, _starts)``: sorted n-grams and where each term starts.
 
     Terms of one message are counted inside its row (sorted array, run lengths),
     so that no shuffle by (message, term) is needed.
     """
-    low, high = ngrams
     names = [c if isinstance(c, str) else "_carry" for c in columns]
     words = df.select(*columns, F.regexp_extract_all(
         fold(F.coalesce(F.col(text), F.lit(""))), F.lit(K.TERM), F.lit(0)).alias("_words"))
-    parts = []
-    for n in range(low, high + 1):
-        starts = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(0)))
-        parts.append(F.transform(starts, _join_words(n)) if n > 1 else F.col("_words"))
-    grams = words.select(*names, F.sort_array(F.concat(*parts)).alias("_grams"))
+    grams = words.select(*names, F.sort_array(_grams("_words", ngrams)).alias("_grams"))
     count = F.size("_grams")
     return grams.select(*names, "_grams", F.when(count > 0, F.filter(
         F.sequence(F.lit(1), count),
@@ -100,50 +91,58 @@ def fit_tfidf(
     return fit_vocabulary(term_counts(df, [], text, ngrams), total, max_features, min_df)
 
 
+def _grams(words: str, ngrams: tuple[int, int]) -> Column:
+    """All n-grams of a word array, in the order of the text.
+
+    The lambdas see their own arguments only: a word array named inside one would be
+    computed again for every word wherever the optimizer inlines its column.
+    """
+    parts = []
+    for n in range(ngrams[0], ngrams[1] + 1):
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        grams = F.slice(words, F.lit(1), count)
+        for k in range(2, n + 1):
+            grams = F.zip_with(grams, F.slice(words, F.lit(k), count), lambda a, b: F.concat_ws(" ", a, b))
+        parts.append(grams)
+    return F.concat(*parts)
+
+
 def transform_tfidf(
     df: DataFrame, vocabulary: DataFrame, key: str = "msg_id", text: str = "message",
     ngrams: tuple[int, int] = K.TFIDF_NGRAMS, carry: list[str] | None = None,
 ) -> DataFrame:
     """``(key, *carry, vector)``: unit-length array of ``(term_id, weight)``, sorted.
 
-    The vocabulary is bounded by its ``max_features`` and is broadcast.  Each
-    message adds one anchor row that holds the carried columns, so messages
-    without a known term keep an empty vector, nothing is repeated per term and
-    no join is needed to get the other columns back.
+    A narrow step without any shuffle: the terms, at most ``max_features``, are
+    collected once and become the dictionary of a count vectorizer, and their idf a
+    literal; counts, weights and norm are computed inside the row. Messages without a
+    known term keep an empty vector.
     """
     carry = carry or []
-    known = F.broadcast(vocabulary.select("term", "term_id", "idf"))
-    packed = F.struct(F.lit(True).alias("_on"), *carry).alias("_carry")
-    nothing = F.lit(None).cast(df.select(packed).schema["_carry"].dataType)
-    runs = F.transform(
-        F.coalesce(F.col("_starts"), F.array().cast("array<int>")),
-        lambda s, j: F.struct(*_run(s, j), nothing.alias("carry")))
-    anchor = F.array(F.struct(
-        F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf"),
-        F.col("_carry").alias("carry")))
-    rows = _term_runs(df, [key, packed], text, ngrams).select(
-        key, F.explode(F.concat(anchor, runs)).alias("_r")).select(key, "_r.*")
-    weighted = (
-        rows.join(known, "term", "left")
-        .filter(F.col("term_id").isNotNull() | F.col("term").isNull())
-        .select(key, "carry", F.when(F.col("term_id").isNotNull(), F.struct(
-            "term_id", ((1 + F.log("tf")) * F.col("idf")).alias("weight"))).alias("_w"))
-    )
-    grouped = weighted.groupBy(key).agg(
-        F.sort_array(F.collect_list("_w")).alias("_ws"),
-        F.first("carry", ignorenulls=True).alias("_c"))
-    norm = F.sqrt(F.aggregate(
-        "_ws", F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
-    kept = [F.col(f"_c.{c}").alias(c) for c in carry]
+    kind = "array<struct<term_id:int,weight:double>>"
+    terms = vocabulary.select("term", "term_id", "idf").orderBy("term_id").collect()
+    if not terms:
+        return df.select(key, *carry, F.array().cast(kind).alias("vector"))
+    words = df.select(key, *carry, F.regexp_extract_all(
+        fold(F.coalesce(F.col(text), F.lit(""))), F.lit(K.TERM), F.lit(0)).alias("_words"))
+    grams = words.select(key, *carry, _grams("_words", ngrams).alias("_grams"))
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in terms], inputCol="_grams", outputCol="_tf", minTF=1.0)
+    idf = F.lit(np.array([r["idf"] for r in terms]))
+    counted = counter.transform(grams).select(key, *carry, F.unwrap_udt("_tf").alias("_tf"))
+    weights = F.zip_with("_tf.values", "_tf.indices", lambda tf, at: (1 + F.log(tf)) * F.get(idf, at))
+    weighted = counted.select(key, *carry, F.col("_tf.indices").alias("_ids"), weights.alias("_ws"))
+    norm = F.sqrt(F.aggregate("_ws", F.lit(0.0), lambda a, x: a + x * x))
     # As an argument the norm is computed once per row; inside the lambda it
     # would be computed again for every element.
-    norms = F.array_repeat(norm, F.size("_ws"))
-    return grouped.select(key, *kept, F.zip_with("_ws", norms, lambda x, n: F.struct(
-        x["term_id"].alias("term_id"), (x["weight"] / n).alias("weight"))).alias("vector"))
+    unit = F.zip_with("_ws", F.array_repeat(norm, F.size("_ws")), lambda x, n: x / n)
+    return weighted.select(key, *carry, F.zip_with("_ids", unit, lambda i, w: F.struct(
+        i.alias("term_id"), w.alias("weight"))).alias("vector"))
 
 
 def long_weights(vectors: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:
     """``(*key, term, weight)`` from vectors."""
-    flat = vectors.select(*key, F.explode("vector").alias("_v")).select(
-        *key, "_v.term_id", "_v.weight")
+    # An outer explode infers no filter, which would compute every vector twice.
+    flat = vectors.select(*key, F.explode_outer("vector").alias("_v")).select(
+        *key, "_v.term_id", "_v.weight").filter("term_id IS NOT NULL")
     return flat.join(F.broadcast(vocabulary.select("term_id", "term")), "term_id").drop("term_id")
