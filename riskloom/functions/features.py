@@ -18,9 +18,10 @@ def _quoted(words: list[str]) -> str:
 
 
 # A word in capitals: no lower-case letter, at least one upper-case, two characters.
+# Ordinary words fail at their first lower-case letter, before anything is looked up.
 _CAPITALS = (
-    rf"(?<!{K.NS})(?={K.NS}{{2}})(?=[^{K.SPACE}]*\p{{IsUppercase}})"
-    rf"[^\p{{IsLowercase}}\p{{Lt}}{K.SPACE}]++(?!{K.NS})"
+    rf"(?<!{K.NS})(?=[^\p{{IsLowercase}}\p{{Lt}}{K.SPACE}]{{2,}}+(?!{K.NS}))"
+    rf"[^\p{{IsUppercase}}{K.SPACE}]*+\p{{IsUppercase}}{K.NS}*+"
 )
 # A negation token with a signal word among the next few whole tokens.
 _SIGNAL_TOKENS = [w for w in K.URGENCY_WORDS + K.CREDENTIAL_WORDS + K.PRIZE_WORDS if " " not in w]
@@ -40,8 +41,9 @@ def uppercase_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_CAPITALS))
 
 
-def negation_score(lowered: Column) -> Column:
-    return F.when(lowered.rlike(_NEGATED), -1.0).otherwise(0.0)
+def negation_score(lowered: Column, may_signal: Column | bool = True) -> Column:
+    """-1 where a signal word is negated; ``may_signal`` spares texts without any signal word."""
+    return F.when(F.lit(may_signal) & lowered.rlike(_NEGATED), -1.0).otherwise(0.0)
 
 
 def has_negation(lowered: Column) -> Column:
@@ -58,6 +60,9 @@ def with_manual_features(df: DataFrame, text: str = "message") -> DataFrame:
     df = df.withColumn("_low", F.lower("_raw"))
     t = F.col("_raw")
     df = df.withColumns({
+        "_urgent": contains_any("_low", K.URGENCY_WORDS),
+        "_asks": contains_any("_low", K.CREDENTIAL_WORDS),
+        "_prize": contains_any("_low", K.PRIZE_WORDS),
         "_phones": F.regexp_count(t, F.lit(K.ENTITY_PHONE)),
         "_amounts": F.when(
             may_hold_money(t, K.ENTITY_MONEY_MARKS), F.regexp_count(t, F.lit(K.ENTITY_AMOUNT))
@@ -80,16 +85,18 @@ def with_manual_features(df: DataFrame, text: str = "message") -> DataFrame:
         "has_email": _number(t.contains(K.EMAIL_TOKEN) | has_email(t)),
         "has_money": _number(t.rlike(K.FEATURE_MONEY)),
         "uppercase_word_count": uppercase_words(t).cast("double"),
-        "has_urgency": _number(contains_any("_low", K.URGENCY_WORDS)),
+        "has_urgency": _number(F.col("_urgent")),
         "has_money_words": _number(contains_any("_low", K.MONEY_WORDS)),
-        "has_credential_words": _number(contains_any("_low", K.CREDENTIAL_WORDS)),
-        "has_prize_words": _number(contains_any("_low", K.PRIZE_WORDS)),
-        "negation_score": negation_score(F.col("_low")),
+        "has_credential_words": _number(F.col("_asks")),
+        "has_prize_words": _number(F.col("_prize")),
+        "negation_score": negation_score(
+            F.col("_low"), F.col("_urgent") | F.col("_asks") | F.col("_prize")),
         "entity_count": (F.col("_phones") + F.col("_amounts") + F.col("_others")).cast("double"),
         "has_phone_ner": _number(F.col("_phones") > 0),
         "has_amount_ner": _number(F.col("_amounts") > 0),
     }
-    return df.withColumns(features).drop("_raw", "_low", "_phones", "_amounts", "_others")
+    return df.withColumns(features).drop(
+        "_raw", "_low", "_urgent", "_asks", "_prize", "_phones", "_amounts", "_others")
 
 
 def with_evidence(df: DataFrame, text: str = "message") -> DataFrame:
