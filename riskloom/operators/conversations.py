@@ -49,14 +49,30 @@ def profile_turns(enriched: DataFrame) -> DataFrame:
         *[c.alias(n) for n, c in bits.items()])
 
 
+def with_positions(rows: DataFrame, out: str = "_pos", stretch: int = 4096) -> DataFrame:
+    """Add the position of every turn in its conversation: from 0, without gaps.
+
+    Turn numbers may start anywhere and have gaps. Counts of stretches of turn numbers
+    give each stretch its first position, so only a stretch is ever sorted together.
+    """
+    part = F.floor(F.col("turn") / stretch)
+    counts = rows.groupBy("conv_id", part.alias("_part")).agg(F.count("*").alias("_in"))
+    before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("conv_id", "_part", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("conv_id", "_part").orderBy("turn")
+    return rows.withColumn("_part", part).join(firsts, ["conv_id", "_part"]).withColumn(
+        out, (F.col("_first") + F.row_number().over(inside) - 1).cast("int")).drop("_part", "_first")
+
+
 def turn_blocks(rows: DataFrame, reach: int, payload: list[str], block: int = BLOCK) -> DataFrame:
     """``(conv_id, block, turns)``: turns of a block and ``reach`` turns after it.
 
-    ``turn`` counts without gaps; ``turns`` is sorted and bounded in length.
+    Blocks count positions, whatever the turn numbers are; ``turns`` is sorted and
+    bounded in length.
     """
-    own = F.floor(F.col("turn") / block).cast("int")
-    also = F.when((F.col("turn") % block < reach) & (own > 0), own - 1)
-    placed = rows.select(
+    own = F.floor(F.col("_pos") / block).cast("int")
+    also = F.when((F.col("_pos") % block < reach) & (own > 0), own - 1)
+    placed = with_positions(rows).select(
         "conv_id", F.struct("turn", *payload).alias("_t"),
         F.explode(F.array_compact(F.array(own, also))).alias("block"))
     return placed.groupBy("conv_id", "block").agg(

@@ -13,8 +13,9 @@ _BUCKET_WIDTH = 1 << 20
 
 
 def stable_hash(key: Column, seed: int = 0) -> Column:
-    """Arithmetic hash in [0, 2^31 - 1): the same in every engine."""
-    return F.pmod(key.cast("bigint") * 48271 + seed * 69621, F.lit(HASH_MODULUS))
+    """Arithmetic hash in [0, 2^31 - 1): the same in every engine, for keys of any size."""
+    small = F.pmod(key.cast("bigint"), F.lit(HASH_MODULUS))
+    return F.pmod(small * 48271 + seed * 69621, F.lit(HASH_MODULUS))
 
 
 def sample_cutoffs(

@@ -51,12 +51,13 @@ def a11(spark, folder):
 
 
 def a10(spark, folder):
-    """Conversations written as JSON arrays, then parsed back."""
-    packed = T.turns(spark, folder).groupBy(
-        "conv_id", F.floor(F.col("turn") / 1000).alias("part")).agg(F.to_json(F.transform(
-            F.sort_array(F.collect_list(F.struct("turn", "text", "sender"))),
-            lambda m: m.dropFields("turn"))).alias("value"))
-    return talks.parse_json(packed).select("conv_id", "turn", "sender", "text")
+    """Conversations written as JSON arrays of up to 1,000 turns, then parsed back."""
+    part = F.struct("conv_id", F.floor(F.col("turn") / 1000).alias("part"))
+    packed = T.turns(spark, folder).groupBy(part.alias("key")).agg(F.to_json(F.transform(
+        F.sort_array(F.collect_list(F.struct("turn", "text", "sender"))),
+        lambda m: m.dropFields("turn"))).alias("value"))
+    return talks.parse_json(packed, key="key").select(
+        "key.conv_id", (F.col("key.part") * 1000 + F.col("turn")).cast("int").alias("turn"), "sender", "text")
 
 
 def g1(spark, folder):
@@ -251,8 +252,21 @@ def _turn_stream(spark, folder):
     return streams.score_stream(turns)
 
 
+def _alerts(counts):
+    as_text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return counts.select(as_text("start"), as_text("end"), "n_messages", "n_alerts", "max_score")
+
+
 def p2(spark, folder):
-    return streams.run_available(streams.alert_counts(_turn_stream(spark, folder)), "alerts")
+    return _alerts(streams.latest_windows(streams.alert_counts(_turn_stream(spark, folder)), "alerts"))
+
+
+def p2_events(spark, folder):
+    """Alerts over the properties of events, in windows of their own time."""
+    events = streams.read_stream(spark, folder, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", "props").alias("message"))
+    counts = streams.alert_counts(streams.score_stream(events), length="1 hour")
+    return _alerts(streams.latest_windows(counts, "event-alerts"))
 
 
 def p3(spark, folder):
@@ -278,5 +292,5 @@ QUERIES = {
     "o3_length_histogram": _profile(profile.length_histogram),
     "o4_signal_prevalence": _profile(profile.signal_prevalence),
     "o5_top_words": _profile(profile.top_words), "o6_cleaning_effect": o6,
-    "p1_scored_stream": p1, "p2_windowed_alerts": p2, "p3_rolling_risk": p3,
+    "p1_scored_stream": p1, "p2_windowed_alerts": p2, "p2_event_alerts": p2_events, "p3_rolling_risk": p3,
 }

@@ -46,6 +46,10 @@ changed AS (SELECT *, CASE
 variants AS (SELECT msg_id, CAST(variant AS INTEGER) AS variant,
   ['swap_chars', 'delete_word', 'insert_filler', 'change_case', 'synonym_swap'][kd + 1] AS kind, {_VARIANT_FIX} AS message FROM changed)"""
 
+_WINDOWS = """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, strftime(w + INTERVAL '{width}', '%Y-%m-%d %H:%M:%S') AS "end",
+  count(*) AS n_messages, CAST(sum(CAST(risk_level <> 'low' AS INTEGER)) AS BIGINT) AS n_alerts, max(risk_score) AS max_score
+  FROM (SELECT time_bucket(INTERVAL '{width}', ts, TIMESTAMP '1970-01-01') AS w, risk_level, risk_score FROM scored) GROUP BY w"""
+
 SQL = {
     "a5_label_map": """SELECT doc_id, CASE WHEN toxic = 1 THEN 'fraudulent' ELSE 'legitimate' END AS label
       FROM labels WHERE toxic = 1 OR quality = 1""",
@@ -53,7 +57,7 @@ SQL = {
     "a10_json_conversations":
         "SELECT conv_id, CAST(turn AS INTEGER) AS turn, role AS sender, text FROM conversations",
     "a11_text_conversations": f"""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS INTEGER) AS turn,
-      'unknown' AS sender, trim({X.sub('line', '^' + chr(92) + 's+|' + chr(92) + 's+$', '')}) AS text FROM (
+      'unknown' AS sender, {X.sub('line', '^' + X.S + '+|' + X.S + '+$', '')} AS text FROM (
       SELECT doc_id AS conv_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
       FROM documents) WHERE {X.match('line', X.NS)}""",
     "g1_label_ids": f"""WITH {_LABELS} SELECT *, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM lab""",
@@ -119,6 +123,11 @@ SQL = {
       round(avg(length(cl)), 4) AS mean_length_after, round(avg(len({X.words('t')})), 4) AS mean_words_before,
       round(avg(len({X.words('cl')})), 4) AS mean_words_after FROM c""",
     "p1_scored_stream": f"WITH {X.DOCS}, {X.scored_cte('docs')} SELECT msg_id, risk_score, risk_level FROM scored",
+    "p2_windowed_alerts": f"""WITH docs AS (SELECT row_number() OVER () AS msg_id, text AS t,
+      make_timestamp(1000000 * (1704067200 + conv_id * 60 + turn * 20)) AS ts FROM conversations), {X.scored_cte('docs')}
+      {_WINDOWS.format(width="10 minutes")}""",
+    "p2_event_alerts": f"""WITH docs AS (SELECT row_number() OVER () AS msg_id, concat_ws(' ', event_type, props) AS t, ts FROM events),
+      {X.scored_cte('docs')} {_WINDOWS.format(width="1 hour")}""",
 }
 _FEAT = _features_sql("labelled").split("\nSELECT msg_id, ", 1)
 _LINEAR = f"""{X.LABELLED}, {_FEAT[0]}, wide AS (SELECT msg_id, {_FEAT[1]}),

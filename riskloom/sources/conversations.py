@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import is_blank
+from riskloom.functions.text import is_blank, strip
 
 _OBJECT = "text STRING, sender STRING, timestamp STRING"
 
@@ -25,9 +25,9 @@ def parse_json(df: DataFrame, value: str = "value", key: str = "conv_id") -> Dat
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per file; the file name identifies the conversation."""
+    """One JSON array per file; the file path identifies the conversation."""
     files = spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_name").alias("conv_id"))
+        "value", F.col("_metadata.file_path").alias("conv_id"))
     return parse_json(files)
 
 
@@ -40,4 +40,4 @@ def parse_lines(df: DataFrame, text: str = "text", key: str = "conv_id") -> Data
     return df.select(
         key, F.posexplode(non_blank_lines(F.col(text))).alias("turn", "_line")
     ).select(key, "turn", F.lit("unknown").alias("sender"),
-             F.trim(F.regexp_replace("_line", r"^\s+|\s+$", "")).alias("text"))
+             strip(F.col("_line")).alias("text"))

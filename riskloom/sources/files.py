@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions.levels import lookup
 from riskloom.functions.text import has_content, is_blank, strip
+from riskloom.session import staged
 
 log = logging.getLogger(__name__)
 EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -116,8 +117,12 @@ def load_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_message_ids(df: DataFrame, key: str = "msg_id") -> DataFrame:
-    """Stable content-derived ids for tables that come without one."""
-    return df.withColumn(key, F.xxhash64(*df.columns).bitwiseAND(F.lit((1 << 40) - 1)))
+    """Ids for tables that come without one: every row its own, equal rows as well.
+
+    Numbers follow the splits of the input, so the numbered table is written once and
+    read back; without the write another plan could number the rows anew.
+    """
+    return staged(df.withColumn(key, F.monotonically_increasing_id()), "numbered")
 
 
 def save_processed(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> str:

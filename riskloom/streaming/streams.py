@@ -32,6 +32,29 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def latest_windows(counts: DataFrame, name: str) -> DataFrame:
+    """Process all available input of a windowed count; every window with its last figures.
+
+    Append mode keeps the newest windows back until later input closes them. Update mode
+    shows each window as it stands: a batch is written under its number (a repeated
+    batch replaces itself), and the last batch of a window holds.
+    """
+    spark = counts.sparkSession
+    path = scratch_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counts.writeStream.outputMode("update").option(
+        "checkpointLocation", f"{path}-progress").trigger(availableNow=True).foreachBatch(
+        write).start().awaitTermination()
+    schema = T.StructType([*counts.schema.fields, T.StructField("batch", T.LongType())])
+    rest = [c for c in counts.columns if c not in ("start", "end")]
+    last = F.max(F.struct("batch", *rest)).alias("m")
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").groupBy(
+        "start", "end").agg(last).select("start", "end", *[f"m.{c}" for c in rest])
+
+
 def score_stream(messages: DataFrame, text: str = "message") -> DataFrame:
     """Rules need no state, so a stream is scored like a table."""
     return score_messages(messages, text)
