@@ -17,9 +17,9 @@ LAST_TURNS = 8
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Files of one table as a stream; the schema comes from what is there."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option(
-        "pathGlobFilter", f"{table}*.parquet").parquet(folder)
+    path = f"{folder}/{table}.parquet"
+    # The pattern matches a file as well as a folder of files; a stream takes no single file.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -45,6 +45,7 @@ def latest_windows(counts: DataFrame, name: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    write(spark.createDataFrame([], counts.schema), -1)  # input without rows makes no batch
     counts.writeStream.outputMode("update").option(
         "checkpointLocation", f"{path}-progress").trigger(availableNow=True).foreachBatch(
         write).start().awaitTermination()
