@@ -1,0 +1,361 @@
+"""Each operator against brute force, and its defined results for odd input."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from riskloom.llm import (
+    bpe, cover_tree, graph, license_scan, minhash, mixing, quality_net, quality_rules, secret_scan,
+    toxicity_net, url_filter,
+)
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [(1, None, "a"), (2, "", None), (3, " \n\t ", "a"), (4, "word", "b"), (4, "word", "b"),
+       (None, "no id here", None), (5, "x " * 3000, "a"), (6, "é漢字 😀\u2028end", "b")]
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def frame(spark, rows):
+    """Documents with extra columns, one of a clashing name."""
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string") \
+        .withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("size", F.lit("y"))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return frame(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(40)],
+                                 "doc_id bigint, quality int, toxic int")
+
+
+def test_odd_rows_and_empty_tables(spark, odd, labels):
+    work = [
+        lambda d: bpe.encode_documents(d, PATH), quality_rules.judge_documents, quality_rules.keep_documents,
+        secret_scan.find_secrets, secret_scan.mask_documents, license_scan.scan_documents,
+        mixing.mix_documents, mixing.take_documents, minhash.link_documents, minhash.keep_documents,
+        lambda d: quality_net.score_documents(d, labels), lambda d: toxicity_net.score_documents(d, labels),
+    ]
+    filters = {2, 7, 9}
+    for number, f in enumerate(work):
+        assert f(odd.limit(0)).collect() == []
+        rows = f(odd).collect()
+        if number not in filters:
+            assert sorted(str(r[0]) for r in rows) == sorted(str(r[0]) for r in ODD)
+
+
+def test_bpe_equals_the_library():
+    coder, library = bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
+    random.seed(1)
+    parts = list("ab 's't\n\r\t  ,.!123é漢字 ᰀ\x1c\x85²½Ⅷ 👍🏽_") + ["<|endoftext|>", "'ll", " the", "Zz", "\u3000"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 60))) for _ in range(1500)]
+    texts += ["", "a" * 5000, "ab" * 3000, " " * 300]
+    for text, raw in zip(texts, coder.encode(texts), strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == ids
+        assert coder.decode(np.array(ids, np.int64)).decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_round_trip_and_digests(spark, odd):
+    tokens = bpe.encode_documents(odd, PATH, with_ids=True)
+    assert sorted(r.text for r in bpe.decode_ids(tokens, PATH).collect()) == sorted(t or "" for _, t, _ in ODD)
+    for r in tokens.collect():
+        assert r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
+
+
+def test_networks_learn_and_score_whole_texts():
+    random.seed(3)
+    clean = [" ".join(random.choice(["the", "house", "river", "on", "of", "green", "walks"])
+                      for _ in range(random.randint(20, 300))) for _ in range(120)]
+    junk = [t + " " + "%%% &&& " * 12 for t in clean[:60]]
+    net = quality_net.fit(clean[:90] + junk[:45], [1] * 90 + [0] * 45, rounds=6)
+    scorer = quality_net.Scorer(net)
+    score = lambda f, t: float(f(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
+    assert min(score(scorer, t) for t in clean[90:]) > 0.5 > max(score(scorer, t) for t in junk[45:])
+    long = score(scorer, clean[95] * 40)
+    assert score(scorer, clean[95] * 20 + junk[50] + clean[95] * 20) < long  # wherever the junk stands
+    assert 0 <= score(scorer, "") <= 1
+    nasty = [t.replace("river", "wretchling", 2) for t in clean]
+    words = toxicity_net.Scorer(toxicity_net.fit(clean[:90] + nasty[:90], [0] * 90 + [1] * 90, rounds=8))
+    assert max(score(words, t) for t in clean[90:]) < 0.7 <= min(
+        score(words, t) for t in nasty[90:] if "wretchling" in t)
+    assert score(words, "") < 0.7
+
+
+def test_networks_score_batches_like_single_texts():
+    random.seed(4)
+    texts = ["", "a", "one two", *("".join(random.choice("abc %\n") for _ in range(n)) for n in (5, 6, 7, 127, 500, 4000))]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    for scorer in (quality_net.Scorer(quality_net.fit([], [], rounds=1)),
+                   toxicity_net.Scorer(toxicity_net.fit(["a b"], [1], rounds=1))):
+        whole = scorer(np.concatenate(raw), offsets)
+        alone = [scorer(r, np.array([0, len(r)]))[0] for r in raw]
+        assert np.allclose(whole, alone, atol=1e-6)
+
+
+def test_url_rules_and_model(spark):
+    cases = [
+        ("http://a.example.net/en/1", "a.example.net", "/en/1", "example.net/en/", "allow"),
+        ("http://A.Example.NET/x?q#f", "a.example.net", "/x", "net/", "block"),
+        ("x://example.com/de/", "example.com", "/de/", "example.com/de/", "block"),
+        ("https://w.org/fr/a", "w.org", "/fr/a", "org/fr/", "allow"),
+        ("http://myexample.com/de/9", "myexample.com", "/de/9", None, None),
+        ("http://net", "net", "", None, None), ("http://h#/x?y", "h", "", None, None),
+        ("http://h?a=/b", "h", "", None, None), ("no scheme", "", "", None, None), (None, "", "", None, None),
+        ("a://b://c/d", "b:", "//c/d", None, None),
+        ("http://cheap-pills.example.com/en/4", "cheap-pills.example.com", "/en/4", None, "block"),
+        ("http://m.casino-win.example.org/en/4", "m.casino-win.example.org", "/en/4", None, "block"),
+        ("http://www.thermentre.example.com/en/4.html", "www.thermentre.example.com", "/en/4.html", None, "allow"),
+    ]
+    pages = spark.createDataFrame([(i, c[0], "h") for i, c in enumerate(cases)], "page_id long, url string, host string")
+    for r, (_, host, path, rule, verdict) in zip(
+            url_filter.judge_urls(pages).orderBy("page_id").collect(), cases, strict=True):
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+
+
+def test_quality_figures(spark):
+    random.seed(5)
+    rows = [(i, "".join(random.choice(["a ", "b ", "c ", "dd\n", "\n", "é# ", "a b c ", "\t"])
+                        for _ in range(random.randint(0, 70))), "s") for i in range(150)]
+    for r in quality_rules.judge_documents(frame(spark, rows)).collect():
+        text, covered, seen = dict((i, t) for i, t, _ in rows)[r.doc_id], set(), collections.defaultdict(list)
+        words = WORD.findall(text)
+        for i in range(len(words) - 2):
+            seen[tuple(words[i:i + 3])].append(i)
+        for places in seen.values():
+            if len(places) > 1:
+                covered.update(p + k for p in places for k in range(3))
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)),
+            len(covered))
+
+
+def test_boilerplate_lines_go_and_depleted_documents_too(spark):
+    spelled = str.maketrans("0123456789", "abcdefghij")  # digits don't count in a line
+    body = lambda i: " ".join(f"w{i}x{k}".translate(spelled) for k in range(60))
+    common = "Shared footer of the site, " * 6
+    rows = [(i, body(i) + "\n" + common + str(i % 3), "a") for i in range(30)]
+    rows += [(100, common + "\n" + common.upper() + "!\nonly few words more of its own here in this text", "a")]
+    rows += [(200 + i, body(200 + i) + "\n" + common, "b") for i in range(9)]   # too few in this host
+    rows += [(300, rows[0][1], "c")] * 40                                        # copies are one text
+    docs = frame(spark, rows)
+    judged = {r.doc_id: r for r in quality_rules.judge_documents(docs).collect()}
+    assert judged[0].kept and judged[0].words_left == 60
+    assert not judged[100].base_failed and not judged[100].kept
+    assert judged[200].words_left == judged[200].n_words and judged[300].words_left == judged[300].n_words
+    kept = {r.doc_id: r.text for r in quality_rules.keep_documents(docs).collect()}
+    assert kept[3] == body(3) and 100 not in kept and kept[300] == rows[0][1]
+    assert quality_rules.keep_documents(docs).filter("doc_id = 300").count() == 40
+
+
+def _secrets(text):
+    text = text or ""
+    assign = re.compile("(" + secret_scan.ASSIGN.replace("[A-Za-z0-9+/_.=-]+", ")([A-Za-z0-9+/_.=-]+)"))
+    base = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(2)) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
+    every = list(base)
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        found = m.group()
+        if any(s < m.end() and m.start() < e for s, _, e in base) or any(
+                re.search(p, found) for p in secret_scan.ALLOWED):
+            continue
+        best = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(found[i:i + 20]).values())
+                   for i in range(len(found) - 19))
+        if best >= (secret_scan.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", found) else secret_scan.MIXED_BITS):
+            every.append((m.start(), 3, m.end()))
+    write = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    return (*(sum(k == n for _, k, _ in base) for n in range(3)),
+            hashlib.sha256(write(base).encode()).hexdigest(), write(every))
+
+
+def test_secrets(spark):
+    random.seed(6)
+    parts = ['token = "', "abcdef0123456789abcd", "AKIA", "ABCDEFGH12345678", "Password:", "xK9f2LmQ8zR4tY7wB3nV6cD1",
+             "😀", " ", "\n", "é", "secret", "=", "api_key:", "\x01", "deadbeef", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+             "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA==", "path/to/some/long/file/name", "K", "'", "short"]
+    rows = [(i, "".join(random.choice(parts) for _ in range(random.randint(0, 14))), "s") for i in range(300)]
+    docs = frame(spark, rows + [(900, None, "s"), (901, "", "s")])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in secret_scan.find_secrets(docs).collect():
+        assert tuple(r)[1:] == _secrets(texts[r.doc_id])
+    for r in secret_scan.mask_documents(docs).collect():
+        if r.text is not None:
+            assert ("<secret>" in r.text) == bool(_secrets(texts[r.doc_id])[4])
+
+
+def test_targets_and_taken_words(spark):
+    random.seed(7)
+    rows = [(i, " ".join("w" * (1 + i % 2) for _ in range(random.randint(0, 40))), random.choice(["a", "b", "c", None]))
+            for i in range(400)]
+    rows += [(1000 + i, "same length text " * 3, "d") for i in range(500)]      # one hot source and length
+    out = mixing.mix_documents(frame(spark, rows)).toPandas()
+    by = out.assign(source=out["source"].fillna("~")).groupby("source").agg(
+        size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), own=("size", "sum"))
+    weight = dict(zip(["a", "b", "c", "d", "~"], [3, 1, 2, 3, 1], strict=True))
+    target, budget, free = {}, 1.5 * by["size"].sum(), set(by.index)
+    while free:  # plain water filling
+        line = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        full = {s for s in free if line * weight[s] >= 2 * by["size"][s]}
+        target |= {s: 2.0 * by["size"][s] for s in full} if full else {s: line * weight[s] for s in free}
+        free = free - full if full else set()
+    for s, r in by.iterrows():
+        assert r.own == r["size"] and abs(r.target - target[s]) < 1e-6
+        assert abs(r.taken - r.target) <= 12
+    assert (out.taken <= 2 * out["size"]).all()
+    again = mixing.mix_documents(frame(spark, rows).repartition(3)).toPandas()
+    assert out.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+    copies = mixing.take_documents(frame(spark, rows)).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    expected = out[out["times"] > 0].set_index("doc_id")["times"]
+    assert copies.sort_index().tolist() == expected.sort_index().tolist()
+
+
+def test_knapsack_is_exact_where_it_can_be():
+    random.seed(8)
+    for _ in range(200):
+        lengths = np.array(sorted(random.sample(range(0, 30), random.randint(1, 6))))
+        counts = np.array([random.randint(1, 4) for _ in lengths])
+        budget = random.randint(0, int((lengths * counts).sum()))
+        take = mixing.fit_counts(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and (lengths * take).sum() <= budget
+        assert budget - (lengths * take).sum() < max(lengths.max(), 1)
+
+
+def _licences(text):
+    text = low(text or "")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = word.findall(text)
+    places = sorted((i, label) for phrase, label in license_scan.PHRASES.items()
+                    for i in range(len(words)) if tuple(words[i:i + len(phrase)]) == phrase)
+    lines, best, labels = [set(word.findall(x)) for x in text.split("\n")], 0.0, {x for _, x in places}
+    for i, line in enumerate(lines):
+        block = line | (lines[i + 1] if i + 1 < len(lines) else set())
+        for label, template in license_scan.TEMPLATES:
+            wanted = set(template.split())
+            if len(block & wanted) >= math.ceil(0.8 * len(wanted) - 1e-9):
+                labels.add(label)
+                best = max(best, len(block & wanted) / len(wanted))
+    return (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None,
+            ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), 1.0 if places else best)
+
+
+def test_licences(spark):
+    random.seed(9)
+    parts = [w for _, t in license_scan.TEMPLATES for w in t.split()] + [
+        "\n", "MIT License", "Apache  LICENSE", "general-public.license", "É", "x"]
+    rows = [(i, " ".join(random.choice(parts) for _ in range(random.randint(0, 40))), "s") for i in range(300)]
+    rows += [(1000 + i, random.choice(license_scan.TEMPLATES)[1].replace(" ", random.choice([" ", "\n", " x "]), 2), "s")
+             for i in range(60)]
+    texts = {i: t for i, t, _ in rows}
+    for r in license_scan.scan_documents(frame(spark, rows)).collect():
+        expected = _licences(texts[r.doc_id])
+        assert tuple(r)[1:-1] == expected[:-1] and abs(r.score - expected[-1]) < 1e-12
+
+
+def _near(rows, size, percent):
+    sets = {}
+    for i, text in rows:
+        words = WORD.findall(low(text or ""))
+        sets[i] = {tuple(words[k:k + size]) for k in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = collections.defaultdict(list)
+    for i in sorted(sets):
+        met = collections.Counter(j for v in sets[i] for j in holders[v])
+        for j, n in met.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for v in sets[i]:
+            holders[v].append(i)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, size, percent):
+    random.seed(10)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    bases = [random.choices(vocabulary, k=k) for k in (8, 20, 40, 120)]
+    passage = random.choices(vocabulary, k=25)
+    rows = []
+    for i in range(900):
+        kind = random.random()
+        if kind < 0.6:
+            words = list(random.choice(bases))
+            for _ in range(random.choice([0, 0, 1, 1, 2, 3, 5])):
+                words[random.randrange(len(words))] = random.choice(vocabulary)
+        elif kind < 0.85:
+            words = passage + random.choices(vocabulary, k=random.choice([1, 2, 3, 5, 30]))
+        else:
+            words = random.choices(vocabulary, k=random.choice([0, 1, 2, 3, 40]))
+        rows.append((i, " ".join(words), "s"))
+    rows += [(9000, None, "s"), (9001, "A b", "s"), (9002, "a B", "s")]
+    out = minhash.link_documents(frame(spark, rows), size, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == _near([r[:2] for r in rows], size, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_one_document_of_each_group_stays(spark, odd):
+    kept = minhash.keep_documents(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "None"]
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(3, 3), (None, 4)]
+    out = {r.node: r.component for r in graph.components(
+        spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(out[k] == 100 for k in range(100, 161)) and all(out[k] == 7 for k in range(200, 260))
+    assert 3 not in out
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 120)
+    rng = np.random.default_rng(0)
+    centres, rows = rng.normal(size=(8, 12)), []
+    for i in range(600):
+        v = centres[i % 8 if i % 3 else 0] + rng.normal(size=12) * rng.choice([0, 0.02, 0.1, 0.2, 0.3])
+        rows.append((i, [float(x) for x in (v if i % 5 else rng.normal(size=12))]))
+    usable = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    rows += [(9000, None), (9001, [0.0] * 12), (9002, [float("nan")] + [1.0] * 11), (9003, [None] + [1.0] * 11),
+             (9004, []), (9005, [1.0, 0.0]), (9006, [2.0, 0.0])]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n_links", F.lit("x"))
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.link_vectors(frame_).collect()}
+    ids = np.array(sorted(usable))
+    x = np.stack([usable[i] / np.linalg.norm(usable[i]) for i in ids])
+    linked = x @ x.T >= 0.95
+    label = ids.copy()
+    while True:
+        low_ = np.array([label[row].min() for row in linked])
+        if (low_ == label).all():
+            break
+        label = low_
+    for i, n, c in zip(ids, linked.sum(1) - 1, label, strict=True):
+        assert out[int(i)] == (n, c, i == c)
+    assert all(out[i] == (0, i, True) for i in range(9000, 9005))
+    assert out[9005] == (1, 9005, True) and out[9006] == (1, 9005, False)
+    assert cover_tree.link_vectors(frame_.limit(0)).collect() == []
