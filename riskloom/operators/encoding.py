@@ -127,12 +127,20 @@ def transitions(events: DataFrame, state: str = "event_type", group: str = "user
 
 
 def _numbered(pool: DataFrame, name: str) -> DataFrame:
-    """Messages of a pool with numbers 0..n-1 by ``msg_id``, ranked in blocks."""
+    """Messages of a pool with numbers 0..n-1 by ``msg_id``, ranked in blocks.
+
+    Totals go up two levels, blocks and stretches of blocks; the one window without
+    groups sees a row for each stretch, that is for each 16 million ids.
+    """
     width = 4096
     blocks = pool.withColumn("_b", F.floor(F.col("msg_id") / width))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.groupBy("_b").agg(F.count("*").alias("_n")).select(
-        "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    before = lambda w: F.coalesce(
+        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = blocks.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_s", F.floor(F.col("_b") / width))
+    inner = counts.select("_b", "_s", before(Window.partitionBy("_s").orderBy("_b")).alias("_in_stretch"))
+    outer = counts.groupBy("_s").agg(F.sum("_n").alias("_n")).select(
+        "_s", before(Window.orderBy("_s")).alias("_stretch"))
+    offsets = inner.join(outer, "_s").select("_b", (F.col("_in_stretch") + F.col("_stretch")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("msg_id"))
     return blocks.withColumn("_r", rank).join(offsets, "_b").select(
         F.lit(name).alias("pool"), (F.col("_r") + F.col("_before") - 1).alias("number"),

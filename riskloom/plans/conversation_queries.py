@@ -112,7 +112,7 @@ def k17(spark, folder):
 def k19(spark, folder):
     scored = score_messages(T.messages(spark, folder)).select("msg_id", "risk_score").join(
         T.labels(spark, folder), "msg_id")
-    return E.training_sequences(scored, 2000)
+    return E.training_sequences(scored, 5000)
 
 
 def k20(spark, folder):

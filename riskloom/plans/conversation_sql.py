@@ -157,8 +157,8 @@ pools AS (
     FROM scored WHERE label = 'legitimate'
   UNION ALL SELECT 'either', row_number() OVER (ORDER BY msg_id) - 1, msg_id, risk_score FROM scored),
 sizes AS (SELECT pool, count(*) AS size FROM pools GROUP BY pool),
-seqs AS (SELECT seq_id, CASE WHEN seq_id < 500 THEN 'all_legit' WHEN seq_id < 1000 THEN 'all_fraud'
-  WHEN seq_id < 1700 THEN 'trust_attack' ELSE 'escalation' END AS kind FROM range(2000) r(seq_id)),
+seqs AS (SELECT seq_id, CASE WHEN seq_id < 1250 THEN 'all_legit' WHEN seq_id < 2500 THEN 'all_fraud'
+  WHEN seq_id < 4250 THEN 'trust_attack' ELSE 'escalation' END AS kind FROM range(5000) r(seq_id)),
 slots AS (SELECT seq_id, kind, unnest(range(CASE WHEN kind = 'escalation' THEN 20 ELSE 5 END)) AS slot FROM seqs),
 picks AS (SELECT *, CASE kind WHEN 'all_legit' THEN 'legit' WHEN 'all_fraud' THEN 'fraud'
   WHEN 'escalation' THEN 'either' ELSE CASE WHEN slot <

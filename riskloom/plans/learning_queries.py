@@ -113,7 +113,7 @@ def _trained(name):
 def g16(spark, folder):
     return _rounded(models.compare_models(
         T.labelled(spark, folder), ["naive_bayes", "logistic_regression", "random_forest"],
-        {"random_forest": {"numTrees": 50}}))
+        {}))
 
 
 def g17(spark, folder):
@@ -154,8 +154,8 @@ def k18(spark, folder):
     scored = score_messages(T.messages(spark, folder)).select("msg_id", "risk_score").join(
         T.labels(spark, folder), "msg_id")
     texts = T.messages(spark, folder).select("msg_id", F.col("message").alias("text"))
-    sample = E.training_sequences(staged(scored, "scored"), 1000)
-    model = stacking.fit_window_model(stacking.sequence_features(sample, texts), trees=50)
+    sample = E.training_sequences(staged(scored, "scored"), 5000)
+    model = stacking.fit_window_model(stacking.sequence_features(sample, texts))
     rows = C.enrich(T.turns(spark, folder))
     features = staged(C.window_features(C.profile_turns(rows)), "features")
     return C.find_patterns(rows, model_scores=stacking.window_scores(model, features))
@@ -214,7 +214,7 @@ def n2(spark, folder):
 
 def n3(spark, folder):
     return _rounded(models.feature_importance(models.train(
-        T.labelled(spark, folder), "random_forest", numTrees=50)))
+        T.labelled(spark, folder), "random_forest")))
 
 
 def n1_model(spark, folder):
