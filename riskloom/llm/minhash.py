@@ -2,22 +2,19 @@
 
 1. Every text becomes its set of shingle hashes; equal sets form a class, and the
    smallest id stands for it. A sketch keeps the smallest hashes of the set.
-2. Close copies are set aside: a document that agrees with an earlier one on a few
-   small hashes, and by exact Jaccard lies within half the linking distance of it,
-   joins its ball, whose members all link. Large
-   groups of near copies shrink to few leaders in linear work. The Jaccard distance is
-   a metric, so bounds between members follow from those between leaders.
-3. Inverted lists of the leaders' retained values generate overlaps. Values in more
-   than ``LIGHT`` lists are common passages: documents that have enough other values
-   meet by those; documents that consist mostly of common values meet by the common
-   ones, only among documents of that kind, dealt by salt.
-4. Sizes, sign bits and the estimate from the union sketch filter; exact Jaccard over
-   the full sets verifies. Leader pairs that only their balls could link are settled
-   among members, within the triangle bounds, unless they are connected already.
-5. Connected components of the verified links.
-
-The filters before exact Jaccard are set six standard deviations below the threshold;
-with 32 retained values the chance to miss a pair at the threshold is below 1e-9.
+2. Documents that agree on a few small hashes are measured against the first of them
+   only: links found so connect large groups of near copies in linear work.
+3. Inverted lists of retained values give the overlaps of sketches. A list matters
+   only if it joins documents that are not connected yet, and a document only if a
+   good part of its retained values are in such lists; few documents are left.
+4. For those the full sets are joined under a global order, rarest value first: prefix,
+   length and position bounds leave the pairs that may reach the threshold. Values of
+   one document alone stand first, so copies with many changes of their own drop out.
+   In a list, pairs inside the largest connected group are never formed.
+5. The estimate from the union sketch filters, exact Jaccard over full sets verifies.
+6. Connected components of the verified links.
+
+Filters by sketches are set six standard deviations below the threshold.
 """
 
 import math
@@ -35,9 +32,7 @@ from riskloom.session import staged
 
 SKETCH = 64       # smallest hashes kept for the estimate
 RETAINED = 32     # of them in inverted lists
-LIGHT = 200       # documents up to which an inverted list is not common
 BANDS = 6         # keys of four small hashes each by which close copies meet
-SALTS = 8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -140,6 +135,21 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return row_map(both, work, "a bigint, b bigint, common bigint, total bigint")
 
 
+def full_sets(some: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, component, values) with the full sets of the documents of ``some``."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text") \
+        .join(some.select("doc_id", "component"), "doc_id")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            found = [s.view(np.int64) for s in shingle_sets(batch.column("text"), size)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), batch.column("component"),
+             pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n", "component", "values"])
+
+    return row_map(texts, work, "doc_id bigint, n bigint, component bigint, values array<bigint>")
+
+
 def _least_agreement(similarity: float) -> int:
     """Of 128 sign bits, six deviations below what sets of this similarity agree on."""
     p = (1 + similarity) / 2
@@ -150,55 +160,60 @@ def _agree(x: str, y: str) -> Column:
     return F.expr(f"128 - bit_count({x}.sign1 ^ {y}.sign1) - bit_count({x}.sign2 ^ {y}.sign2)")
 
 
-def _alike(x: str, y: str, least: Column) -> Column:
-    return F.expr(f"least({x}.n_shingles, {y}.n_shingles)") >= least * F.expr(f"greatest({x}.n_shingles, {y}.n_shingles)")
-
-
-def balls(sets: DataFrame, docs: DataFrame, size: int, ball: float) -> DataFrame:
-    """(a, b, common, total): documents b measured against the leader a that their keys propose."""
+def star_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every document b with the earlier document a that its band keys propose as most alike."""
     keys = sets.select("doc_id", "n_shingles", "sign1", "sign2", F.explode("bands").alias("key"))
     leads = staged(keys.groupBy("key").agg(
         F.min(F.struct("doc_id", "n_shingles", "sign1", "sign2")).alias("l"), F.count("*").alias("n"))
         .filter("n > 1").select("key", "l.*"), "leads")
-    met = keys.alias("d").join(leads.alias("l"), "key") \
-        .filter(F.expr("l.doc_id < d.doc_id") & _alike("d", "l", F.lit(1 - ball))) \
-        .select("d.doc_id", F.col("l.doc_id").alias("lead"), _agree("d", "l").alias("agree")).filter(
-            F.col("agree") >= _least_agreement(1 - ball))
-    parents = staged(met.groupBy("doc_id").agg(F.max(F.struct("agree", (-F.col("lead")).alias("behind"))).alias("m"))
-                     .select("doc_id", (-F.col("m.behind")).alias("lead")), "parents")
-    found = parents
-    for _ in range(2):  # a proposed leader may have one of its own
-        found = found.alias("p").join(parents.alias("q"), F.expr("p.lead = q.doc_id"), "left") \
-            .selectExpr("p.doc_id", "coalesce(q.lead, p.lead) AS lead")
-    roots = found.join(parents.select(F.col("doc_id").alias("lead")), "lead", "left_anti")
-    return staged(verified(roots.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), docs, size), "balls")
-
-
-def overlaps(leaders: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b, radii) of leaders from inverted lists of retained values."""
-    kept = leaders.withColumn("kept", F.slice("sketch", 1, RETAINED))
-    lists = kept.select("doc_id", "n_shingles", "sign1", "sign2", "radius", F.size("kept").alias("m"),
-                        F.posexplode("kept").alias("place", "value"))
-    counts = staged(lists.groupBy("value").agg(F.count("*").alias("n_list")).filter("n_list > 1"), "lists")
-    shared = staged(lists.join(counts, "value"), "postings")
-    radii = F.expr("x.radius + y.radius")
-    close = _alike("x", "y", F.lit(percent / 100) - radii - 1e-9) \
-        & (_agree("x", "y") >= F.when(radii > 0, _least_agreement(2 * percent / 100 - 1))
-                                  .otherwise(_least_agreement(percent / 100)))
-    light = shared.filter(F.col("n_list") <= LIGHT)
-    pairs = light.alias("x").join(light.alias("y"), F.expr("x.value = y.value AND x.doc_id < y.doc_id") & close) \
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), radii.alias("radii"))
-    common = shared.filter(F.col("n_list") > LIGHT)
-    share = common.groupBy("doc_id").agg((F.count("*") / F.max("m")).alias("common"))
-    common = common.join(share, "doc_id")
-    mostly = common.filter("common > 0.5 AND place < 16") \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    partly = common.filter("common > 0.15").withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
-    more = mostly.alias("x").join(
-        partly.alias("y"), F.expr("x.value = y.value AND x.salt = y.salt AND x.doc_id <> y.doc_id") & close) \
-        .select(F.expr("least(x.doc_id, y.doc_id) AS a"), F.expr("greatest(x.doc_id, y.doc_id) AS b"),
-                radii.alias("radii"))
-    return staged(pairs.union(more).distinct(), "overlaps")
+    met = keys.alias("d").join(leads.alias("l"), "key").filter(
+        F.expr("l.doc_id < d.doc_id AND 100 * least(l.n_shingles, d.n_shingles) >= "
+               f"{percent} * greatest(l.n_shingles, d.n_shingles)")
+        & (_agree("d", "l") >= _least_agreement(percent / 100))) \
+        .select("d.doc_id", F.col("l.doc_id").alias("lead"), _agree("d", "l").alias("agree"))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("agree", (-F.col("lead")).alias("behind"))).alias("m"))
+    return staged(best.select((-F.col("m.behind")).alias("a"), F.col("doc_id").alias("b")), "stars")
+
+
+def unsettled(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, component) of documents that may link beyond their component.
+
+    Of two linked documents' retained values far more than three in eight are shared,
+    each in a list that holds both components.
+    """
+    placed = sets.alias("s").join(nodes.alias("n"), F.expr("s.doc_id = n.node"), "left").select(
+        "s.doc_id", F.expr("coalesce(n.component, s.doc_id)").alias("component"),
+        F.slice("sketch", 1, RETAINED).alias("kept"))
+    lists = placed.select("doc_id", "component", F.size("kept").alias("m"), F.explode("kept").alias("value"))
+    mixed = staged(lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                   .filter("low <> high").select("value"), "lists")
+    return staged(lists.join(mixed, "value").groupBy("doc_id", "component").agg(
+        F.count("*").alias("shared"), F.max("m").alias("m")).filter("8 * shared >= 3 * m")
+        .select("doc_id", "component"), "unsettled")
+
+
+def overlaps(full: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components by prefix, length and position."""
+    values = full.select("doc_id", F.explode("values").alias("value"))
+    counts = staged(values.groupBy("value").agg(F.count("*").alias("f")).filter("f > 1"), "counts")
+    ordered = values.join(counts, "value").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("f", "value"))).alias("common"))  # at most the document's own set
+    prefix = f"n - cast(ceil({percent} * n / 100D - 1e-9) AS bigint) + 1"
+    postings = staged(full.select("doc_id", "n", "component").join(ordered, "doc_id").select(
+        "doc_id", "n", "component", (F.col("n") - F.size("common")).alias("alone"),
+        F.posexplode(F.expr(f"slice(common, 1, greatest(0, cast({prefix} - (n - size(common)) AS int)))"))
+        .alias("k", "entry")).select(
+        "doc_id", "n", "component", (F.col("alone") + F.col("k") + 1).alias("place"), "entry.value"), "postings")
+    largest = staged(postings.groupBy("value", "component").agg(F.count("*").alias("size"))
+                     .groupBy("value").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("groups"))
+                     .filter("groups > 1").select("value", F.col("m.component").alias("largest")), "largest")
+    outside = postings.join(largest, "value").filter("component <> largest")
+    pairs = outside.alias("x").join(postings.alias("y"), F.expr(f"""
+        x.value = y.value AND x.component <> y.component AND (y.component = x.largest OR x.doc_id < y.doc_id)
+        AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+        AND 1 + least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n) / {100 + percent}D - 1e-6"""))
+    return staged(pairs.select(F.expr("least(x.doc_id, y.doc_id) AS a"), F.expr("greatest(x.doc_id, y.doc_id) AS b"))
+                  .distinct(), "overlaps")
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,11 +222,10 @@ def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = pairs.alias("p").join(own.alias("x"), F.expr("p.a = x.doc_id")).join(own.alias("y"), F.expr("p.b = y.doc_id"))
     union = F.expr("slice(array_sort(array_union(x.sketch, y.sketch)), 1, "
                    f"least({SKETCH}, greatest(size(x.sketch), size(y.sketch))))")
-    rows = met.select("p.a", "p.b", "p.radii", union.alias("low"),
-                      F.expr("array_intersect(x.sketch, y.sketch)").alias("both"))
+    rows = met.select("p.a", "p.b", union.alias("low"), F.expr("array_intersect(x.sketch, y.sketch)").alias("both"))
+    need = percent / 100
     share = F.size(F.array_intersect("low", "both")) / F.size("low")
-    need = F.lit(percent / 100) - F.col("radii")
-    return rows.filter(share >= need - 6 * F.sqrt(need * (1 - need) / F.size("low"))).select("a", "b", "radii")
+    return rows.filter(share >= need - 6 * F.sqrt(F.lit(need * (1 - need)) / F.size("low"))).select("a", "b")
 
 
 def link_documents(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -225,42 +239,18 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFra
     """
     if not 80 <= percent <= 100:
         raise ValueError("the filters suit similarities of 80 percent and more")
-    ball = (1 - percent / 100) / 2
     figures = staged(sketched(docs, size), "sketches")
     filled = figures.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(filled.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     sets = staged(filled.alias("d").join(
         classes.alias("c"), F.expr("d.fp1 = c.fp1 AND d.fp2 = c.fp2 AND d.doc_id = c.rep")).select("d.*"), "sets")
-    measured = balls(sets, docs, size, ball)
-    distance = 1 - F.col("common") / F.col("total")
     linked = F.col("common") * 100 >= F.col("total") * percent
-    inside = measured.withColumn("far", distance).filter(F.col("far") <= ball)
-    members = inside.select(F.col("b").alias("doc_id"), F.col("a").alias("lead"), "far")
-    radius = members.groupBy("lead").agg(F.max("far").alias("radius"))
-    leaders = staged(sets.join(members.select("doc_id"), "doc_id", "left_anti").alias("s")
-                     .join(radius.alias("r"), F.expr("s.doc_id = r.lead"), "left")
-                     .select("s.*", F.coalesce("r.radius", F.lit(0.0)).alias("radius")), "leaders")
-    pairs = staged(estimated(overlaps(leaders, percent), leaders, percent), "pairs")
-    checked = staged(verified(pairs, docs, size).join(pairs, ["a", "b"]), "checked")
-    links = measured.filter(linked).select("a", "b").union(checked.filter(linked).select("a", "b"))
-    nodes = staged(components(links), "nodes")
-
-    open_pairs = checked.withColumn("far", distance) \
-        .filter(~linked & (F.col("far") <= 1 - percent / 100 + F.col("radii") + 1e-9))
-    apart = staged(
-        open_pairs.alias("p").join(nodes.alias("x"), F.expr("p.a = x.node"), "left")
-        .join(nodes.alias("y"), F.expr("p.b = y.node"), "left")
-        .filter("coalesce(x.component, p.a) <> coalesce(y.component, p.b)").select("p.a", "p.b", "p.far"), "apart")
-    if not apart.isEmpty():
-        every = members.union(leaders.select("doc_id", F.col("doc_id").alias("lead"), F.lit(0.0).alias("far"))) \
-            .join(sets.select("doc_id", "n_shingles", "sign1", "sign2"), "doc_id")
-        between = apart.alias("p").join(every.alias("x"), F.expr("p.a = x.lead")).join(
-            every.alias("y"), F.expr(f"p.b = y.lead AND x.far + y.far >= p.far - {1 - percent / 100} - 1e-9")
-            & _alike("x", "y", F.lit(percent / 100 - 1e-9)) & (_agree("x", "y") >= _least_agreement(percent / 100))) \
-            .filter("NOT (x.doc_id = p.a AND y.doc_id = p.b)") \
-            .select(F.expr("least(x.doc_id, y.doc_id) AS a"), F.expr("greatest(x.doc_id, y.doc_id) AS b")).distinct()
-        late = staged(verified(staged(between, "between"), docs, size), "late").filter(linked).select("a", "b")
-        nodes = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+    first = staged(verified(star_pairs(sets, percent), docs, size).filter(linked).select("a", "b"), "first")
+    nodes = staged(components(first), "nodes")
+    full = staged(full_sets(unsettled(sets, nodes), docs, size), "full")
+    pairs = staged(estimated(overlaps(full, percent), sets, percent), "pairs")
+    second = verified(pairs, docs, size).filter(linked).select("a", "b")
+    nodes = staged(components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "nodes")
     out = figures.alias("d").join(classes.alias("c"), F.expr("d.fp1 = c.fp1 AND d.fp2 = c.fp2 AND d.n_shingles > 0"), "left") \
         .selectExpr("d.doc_id", "d.n_shingles", "CASE WHEN d.doc_id IS NOT NULL THEN coalesce(c.rep, d.doc_id) END AS rep")
     return out.alias("d").join(nodes.alias("n"), F.expr("d.rep = n.node"), "left").select(
