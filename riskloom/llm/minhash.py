@@ -32,6 +32,7 @@ from riskloom.session import staged
 
 SKETCH = 64       # smallest hashes kept for the estimate
 RETAINED = 32     # of them in inverted lists
+MOST_SENT = 2_000_000  # ids, about 32 MB, that are sent to every executor
 BANDS = 6         # keys of four small hashes each by which close copies meet
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -98,13 +99,23 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return row_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work, _FIGURES)
 
 
+def of_documents(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of the documents of ``ids`` (doc_id and more), which is written and small beside ``docs``.
+
+    Up to ``MOST_SENT`` rows, counted, go to every executor and spare the shuffle of all
+    texts; beyond that both sides are shuffled.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return texts.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(a, b, common, total) of id pairs (a, b): exact sizes of intersection and union.
 
     Texts of the paired documents are joined to the pairs and become sets in the task.
     """
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    wanted = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    texts = of_documents(wanted, docs)
     both = pairs.select("a", "b") \
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b") \
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -137,8 +148,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 def full_sets(some: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, component, values) with the full sets of the documents of ``some``."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text") \
-        .join(some.select("doc_id", "component"), "doc_id")
+    texts = of_documents(some.select("doc_id", "component"), docs)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
