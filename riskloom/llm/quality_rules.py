@@ -1,7 +1,7 @@
 """Quality rules: fixed limits of a text, and lines that many documents of a host share.
 
-Lines are normalised and hashed; a line found in too large a share of its host's
-distinct texts is boilerplate. A document that loses too many of its words with such
+Lines are normalised and hashed; a line found in more than a fixed number of its host's
+distinct texts is boilerplate, however large the host. A document that loses too many of its words with such
 lines is depleted and rejected. Everything is built-in column functions.
 """
 
@@ -15,7 +15,7 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED = 50      # percent of words in repeated three-word windows
-LINE_SHARE = 0.1        # of a host's distinct texts
+LINE_SHARE = 0.1        # of a host's distinct texts: the former limit, read by the SQL twin alone
 LINE_LEAST = 10         # distinct texts up to which a line is never boilerplate
 WORDS_LEFT = 0.3        # share of its words that a document must keep
 
@@ -88,20 +88,17 @@ def measured(docs: DataFrame) -> DataFrame:
              "_l.n_dup_lines", "_w.n_repeat_words", "_l.lines")
 
 
-def boilerplate(rows: DataFrame, share: float = LINE_SHARE, least: int = LINE_LEAST) -> DataFrame:
-    """(source, h): lines in more than ``share`` of a source's distinct texts and more than ``least``."""
-    found = rows.select("source", "text_id", F.explode("lines").alias("_line")) \
+def boilerplate(rows: DataFrame, least: int = LINE_LEAST) -> DataFrame:
+    """(source, h): lines in more than ``least`` of a source's distinct texts."""
+    return rows.select("source", "text_id", F.explode("lines").alias("_line")) \
         .select("source", "text_id", F.col("_line.h").alias("h")) \
-        .groupBy("source", "h").agg(F.countDistinct("text_id").alias("n_docs")).filter(F.col("n_docs") > least)
-    hosts = rows.groupBy(F.col("source").alias("host")).agg(F.countDistinct("text_id").alias("n_all"))
-    return found.join(hosts, found.source.eqNullSafe(hosts.host)) \
-        .filter(F.col("n_docs") > share * F.col("n_all")).select("source", "h")
+        .groupBy("source", "h").agg(F.countDistinct("text_id").alias("n_docs")) \
+        .filter(F.col("n_docs") > least).select("source", "h")
 
 
-def judged(rows: DataFrame, share: float = LINE_SHARE, least: int = LINE_LEAST,
-           left: float = WORDS_LEFT) -> DataFrame:
+def judged(rows: DataFrame, least: int = LINE_LEAST, left: float = WORDS_LEFT) -> DataFrame:
     """``rows`` (staged figures) with base_failed, kept, words_left and the hashes of lines to remove."""
-    lines = boilerplate(rows, share, least)
+    lines = boilerplate(rows, least)
     single = rows.select("row", "source", F.explode("lines").alias("_line")) \
         .select("row", "source", F.col("_line.h").alias("h"))
     drops = single.join(lines, single.source.eqNullSafe(lines.source) & (single.h == lines.h)) \

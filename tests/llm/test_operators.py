@@ -167,6 +167,20 @@ def test_boilerplate_lines_go_and_depleted_documents_too(spark):
     assert quality_rules.keep_documents(docs).filter("doc_id = 300").count() == 40
 
 
+def test_a_line_in_one_percent_of_a_large_host_goes(spark):
+    spelled = str.maketrans("0123456789", "abcdefghij")
+    body = lambda i: " ".join(f"w{i}x{k}".translate(spelled) for k in range(60))
+    common = "Read more on our pages"
+    rows = [(i, body(i) + ("\n" + common if i % 100 == 0 else ""), "hot") for i in range(2000)]
+    rows += [(5000 + i, body(5000 + i) + "\n" + common, "small") for i in range(10)]  # not above the count
+    docs = frame(spark, rows)
+    left = {r.doc_id: (r.n_words, r.words_left) for r in quality_rules.judge_documents(docs).collect()}
+    assert all(left[i] == ((65, 60) if i % 100 == 0 else (60, 60)) for i in range(2000))
+    assert all(left[5000 + i] == (65, 65) for i in range(10))
+    kept = {r.doc_id: r.text for r in quality_rules.keep_documents(docs).collect()}
+    assert kept[100] == body(100) and kept[5000] == body(5000) + "\n" + common
+
+
 def _secrets(text):
     text = text or ""
     assign = re.compile("(" + secret_scan.ASSIGN.replace("[A-Za-z0-9+/_.=-]+", ")([A-Za-z0-9+/_.=-]+)"))
