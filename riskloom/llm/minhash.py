@@ -230,8 +230,10 @@ def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union-sketch estimate is not six deviations below what they need."""
     own = sets.select("doc_id", "sketch")
     met = pairs.alias("p").join(own.alias("x"), F.expr("p.a = x.doc_id")).join(own.alias("y"), F.expr("p.b = y.doc_id"))
-    union = F.expr("slice(array_sort(array_union(x.sketch, y.sketch)), 1, "
-                   f"least({SKETCH}, greatest(size(x.sketch), size(y.sketch))))")
+    # sketches keep the smallest unsigned hashes: signed ones sort like them with the top bit flipped
+    merged = "array_sort(transform(array_union(x.sketch, y.sketch), h -> h ^ (-9223372036854775807L - 1L)))"
+    union = F.expr(f"transform(slice({merged}, 1, least({SKETCH}, greatest(size(x.sketch), size(y.sketch)))), "
+                   "h -> h ^ (-9223372036854775807L - 1L))")
     rows = met.select("p.a", "p.b", union.alias("low"), F.expr("array_intersect(x.sketch, y.sketch)").alias("both"))
     need = percent / 100
     share = F.size(F.array_intersect("low", "both")) / F.size("low")

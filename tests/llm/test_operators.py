@@ -333,6 +333,20 @@ def test_near_duplicates(spark, size, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_estimates_keep_contained_pairs_at_the_threshold(spark):
+    """Of 90 to 150 shingles, whose smallest hashes reach past 2^63: no true link is filtered out."""
+    rng, rows, pairs = np.random.default_rng(11), [], []
+    for k in range(6000):
+        n = 90 + k % 61
+        longer = np.sort(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        part = np.sort(rng.choice(longer, math.ceil(0.85 * n), replace=False))
+        rows += [(2 * k + j, s[:minhash.SKETCH].view(np.int64).tolist()) for j, s in enumerate((part, longer))]
+        pairs.append((2 * k, 2 * k + 1))
+    sets = spark.createDataFrame(rows, "doc_id long, sketch array<bigint>")
+    out = minhash.estimated(spark.createDataFrame(pairs, "a long, b long"), sets, 85)
+    assert sorted((r.a, r.b) for r in out.collect()) == pairs
+
+
 def test_one_document_of_each_group_stays(spark, odd):
     kept = minhash.keep_documents(odd)
     assert kept.columns == odd.columns
