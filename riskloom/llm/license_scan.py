@@ -1,6 +1,8 @@
 """Licences in whole texts: fixed phrases, and an exact set-similarity join with templates.
 
-A text block is a line with its successor, as a set of words. Template words are ordered
+A text block is a window of three times the longest template's words, whatever the line
+breaks, as a set of words; windows start at every such length, so a notice spread over
+twice its length lies in one of them. Template words are ordered
 by how many documents have them, rarest first. A block that holds the asked share of a
 template must hold one of the template's first words (prefix), enough words at all
 (length), and enough of them from the shared word on (position). Survivors are counted
@@ -78,20 +80,23 @@ def needed(words: list[str], threshold: float) -> int:
     return math.ceil(threshold * len(words) - 1e-9)
 
 
-def blocks_of(low: Column, templates: list, threshold: float) -> Column:
-    """Sets of template words of the blocks that hold a prefix word and enough words."""
-    universe = F.array(*map(F.lit, sorted({w for _, _, words in templates for w in words})))
+def blocks_of(low: Column, templates: list, threshold: float, longest: int) -> Column:
+    """Sets of template words of the blocks that hold a prefix word and enough words.
+
+    ``longest`` is the number of words of the longest template.
+    """
+    universe = sorted({w for _, _, words in templates for w in words})
     prefix = F.array(*map(F.lit, sorted({w for _, _, words in templates
                                          for w in words[: len(words) - needed(words, threshold) + 1]})))
     least = min(needed(words, threshold) for _, _, words in templates)
-    lines = F.transform(F.split(low, "\n"), lambda line: F.array_intersect(words_of(line), universe))
+    known = F.transform(words_of(low), lambda w: F.when(w.isin(universe), w))
 
-    def joined(found):
-        pairs = F.zip_with(found, F.slice(found, 2, F.size(found)),
-                           lambda a, b: F.array_union(a, F.coalesce(b, F.array().cast("array<string>"))))
-        return F.filter(pairs, lambda block: (F.size(block) >= least) & F.arrays_overlap(block, prefix))
+    def windows(found):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(longest))
+        sets = F.transform(starts, lambda i: F.array_distinct(F.array_compact(F.slice(found, i + 1, 3 * longest))))
+        return F.filter(sets, lambda block: (F.size(block) >= least) & F.arrays_overlap(block, prefix))
 
-    return F.array_distinct(let(lines, joined))
+    return F.array_distinct(let(known, windows))
 
 
 def matches(blocks: DataFrame, templates: list, threshold: float) -> DataFrame:
@@ -127,7 +132,8 @@ def scan_documents(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     read = staged(rows.select(
         "doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("row"),
         F.regexp_count("text", F.lit(_WORD)).cast("bigint").alias("n_words"), places.alias("places"),
-        blocks_of(F.col("low"), ordered, threshold).alias("blocks")), "licences")
+        blocks_of(F.col("low"), ordered, threshold, max(len(text.split()) for _, text in templates))
+        .alias("blocks")), "licences")
     found = matches(read.select("row", F.explode("blocks").alias("block")).distinct(), ordered, threshold) \
         .groupBy(F.col("row").alias("_row")).agg(
             F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))

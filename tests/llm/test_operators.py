@@ -285,6 +285,24 @@ def test_licences(spark):
         assert tuple(r)[1:-1] == expected[:-1] and abs(r.score - expected[-1]) < 1e-12
 
 
+def test_licences_whatever_the_line_breaks(spark):
+    random.seed(12)
+    rows, filler = [], lambda n: " ".join(random.choices([f"w{i}" for i in range(500)], k=n))
+    for k, (_, text) in enumerate(license_scan.TEMPLATES):
+        words = text.split()
+        wrapped = "\n * ".join(" ".join(words[i:i + 3]) for i in range(0, len(words), 3))
+        double = "\n\n".join(" ".join(words[i:i + 5]) for i in range(0, len(words), 5))
+        for j, notice in enumerate((wrapped, double, "\n".join(words), "\n# x ".join(words))):
+            for at in (0, 1, 17, 40, 333):
+                rows.append((1000 * k + 100 * j + len(rows) % 5, filler(at) + "\n" + notice + "\n" + filler(90), "s"))
+    far = " ".join(w + " " + filler(40) for w in license_scan.TEMPLATES[5][1].split())  # one line, by chance
+    rows.append((99999, far, "s"))
+    out = {r.doc_id: r for r in license_scan.scan_documents(frame(spark, rows)).collect()}
+    for i, _, _ in rows[:-1]:
+        assert license_scan.TEMPLATES[i // 1000][0] in out[i].labels.split(",") and out[i].score == 1
+    assert out[99999].labels == "" and out[99999].score == 0
+
+
 def _near(rows, size, percent):
     sets = {}
     for i, text in rows:
