@@ -2,8 +2,9 @@
 
 A long run of key characters is a candidate. A window slides over it; counts of its
 characters change by one arriving and one leaving, and so does the sum behind the
-Shannon entropy. A candidate whose best window passes the limit of its character class
-is a secret unless the allow-list knows it or a pattern covers it. Built-in column
+Shannon entropy. What the patterns leave of a candidate, without dates at its head, is
+a secret if its best window passes the limit of its character class and the allow-list
+does not know it. Built-in column
 functions only: matches are fenced by control characters and placed by running lengths.
 """
 
@@ -35,8 +36,9 @@ ALLOWED = [
     r"^(?:[A-Za-z]+[/_=+-]+)+[A-Za-z]*$",          # paths and compound words
     r"(?i)example|sample|dummy|placeholder|changeme",
     r"(?i)0123456789|abcdefghijkl",                # alphabets
-    r"^[0-9]{1,4}(?:[-/][0-9]{1,4}){2,}",          # dates
+    r"^[0-9]{1,4}(?:[-/][0-9]{1,4}){2,}",          # dates: the scan takes them off the head instead
 ]
+DATES = r"^(?:[0-9]{1,4}(?:[-/][0-9]{1,4}){2,}(?:[-/_=+]+|$))+"
 
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
 
@@ -110,18 +112,45 @@ def best_entropy(found: Column, window: int = WINDOW) -> Column:
     return let(codes, over)
 
 
+def stretches(m: Column, base: Column) -> Column:
+    """What the base spans, ordered by start, leave of a candidate and is long enough for a window."""
+    def part(start, end):
+        return F.struct(start.alias("start"), end.alias("end"),
+                        F.substring(m["found"], start - m["start"] + 1, end - start).alias("found"))
+
+    def step(state, b):
+        met = (b["start"] < m["end"]) & (m["start"] < b["end"])
+        fits = met & (b["start"] - state["at"] >= WINDOW)
+        return F.struct(
+            F.when(met, F.greatest(state["at"], b["end"])).otherwise(state["at"]).alias("at"),
+            F.when(fits, F.array_append(state["left"], part(state["at"], b["start"])))
+            .otherwise(state["left"]).alias("left"))
+
+    begin = F.struct(m["start"].alias("at"),
+                     F.array().cast("array<struct<start:int,end:int,found:string>>").alias("left"))
+    return F.aggregate(base, begin, step, lambda state: F.when(
+        m["end"] - state["at"] >= WINDOW, F.array_append(state["left"], part(state["at"], m["end"])))
+        .otherwise(state["left"]))
+
+
+def undated(m: Column) -> Column:
+    """A stretch without the dates at its head."""
+    rest = F.regexp_replace(m["found"], DATES, "")
+    return F.struct((m["end"] - F.length(rest)).alias("start"), m["end"].alias("end"), rest.alias("found"))
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Candidates of high entropy that no base span overlaps and the allow-list doesn't know."""
+    """Stretches of high entropy, outside base spans, that the allow-list doesn't know."""
     def suspicious(m):
         found = m["found"]
-        known = F.lit(False)
-        for pattern in ALLOWED:
+        known = F.length(found) < WINDOW
+        for pattern in ALLOWED[:-1]:
             known = known | found.rlike(pattern)
-        clear = ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
         limit = F.when(found.rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(MIXED_BITS)
-        return F.when(clear & ~known, best_entropy(found) >= limit).otherwise(False)
+        return F.when(~known, best_entropy(found) >= limit).otherwise(False)
 
-    return F.transform(F.filter(placed(text, CANDIDATE), suspicious), lambda m: F.struct(
+    left = F.transform(F.flatten(F.transform(placed(text, CANDIDATE), lambda m: stretches(m, base))), undated)
+    return F.transform(F.filter(left, suspicious), lambda m: F.struct(
         m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
 
 
