@@ -8,13 +8,13 @@ from riskloom.functions.features import with_manual_features
 from riskloom.functions.rules import score_messages
 from riskloom.functions.text import clean_messages, clean_steps
 from riskloom.operators import (
-    anomaly, explain, metrics, models, profile, robustness, split, stacking, sweep, tfidf,
+    explain, metrics, models, profile, robustness, split, stacking, sweep, tfidf,
 )
 from riskloom.operators import cascade as J
 from riskloom.operators import conversations as C
 from riskloom.operators import encoding as E
 from riskloom.plans import tables as T
-from riskloom.plans.scoring_queries import cascade_inputs, cleaned_cases
+from riskloom.plans.scoring_queries import anomaly_scores, cascade_inputs, cleaned_cases
 from riskloom.session import staged
 from riskloom.sources import conversations as talks
 from riskloom.sources import files
@@ -97,13 +97,9 @@ def g15(spark, folder):
     return metrics.errors(predictions(spark, folder), "label", "predicted", K.FRAUDULENT)
 
 
-# Boosting rounds and terms for the small tables these queries run on.
-_TRIAL = {"boosted_trees": {"maxIter": 20, "max_features": 500}}
-
-
 def _trained(name):
     def run(spark, folder):
-        trained = models.train(T.labelled(spark, folder), name, **_TRIAL.get(name, {}))
+        trained = models.train(T.labelled(spark, folder), name)
         return models.predict_messages(trained, T.messages(spark, folder)).select(
             "msg_id", "predicted_class", "confidence", F.col("model_level").alias("risk_level"),
             "risk_score", "recommendation")
@@ -111,9 +107,7 @@ def _trained(name):
 
 
 def g16(spark, folder):
-    return _rounded(models.compare_models(
-        T.labelled(spark, folder), ["naive_bayes", "logistic_regression", "random_forest"],
-        {}))
+    return _rounded(models.compare_models(T.labelled(spark, folder), models.SUPPORTED))
 
 
 def g17(spark, folder):
@@ -131,17 +125,7 @@ def h2_h4(spark, folder):
 
 
 def i6(spark, folder):
-    rows = staged(clean_steps(T.messages(spark, folder), "message", "clean").select(
-        "msg_id", "clean", (F.col("clean") == "").alias("is_blank")), "cleaned")
-    legit = T.labels(spark, folder).filter(F.col("label") == K.LEGITIMATE).select("msg_id")
-    train = rows.join(legit, "msg_id")
-    vocabulary = staged(tfidf.fit_tfidf(
-        train, text="clean", max_features=K.ANOMALY_MAX_FEATURES, ngrams=K.ANOMALY_NGRAMS), "vocabulary")
-    vectors = staged(tfidf.transform_tfidf(
-        rows, vocabulary, text="clean", ngrams=K.ANOMALY_NGRAMS, carry=["is_blank"]), "vectors")
-    known = vectors.join(legit, "msg_id")
-    scored = anomaly.score_forest(vectors, anomaly.fit_forest(known), known)
-    return scored.withColumn("is_anomalous", F.col("anomaly_score") >= K.CASCADE_DEFAULTS["anomaly_boost_thr"])
+    return anomaly_scores(spark, folder).withColumn("is_anomalous", F.col("anomaly_score") >= K.CASCADE_DEFAULTS["anomaly_boost_thr"])
 
 
 def j8(spark, folder):
@@ -162,11 +146,11 @@ def k18(spark, folder):
 
 
 def l1(spark, folder):
-    return robustness.perturb(T.messages(spark, folder), 10)
+    return robustness.perturb(T.messages(spark, folder))
 
 
 def l2_l3(spark, folder):
-    return robustness.stability(T.messages(spark, folder), 10)
+    return robustness.stability(T.messages(spark, folder))
 
 
 def l4(spark, folder):

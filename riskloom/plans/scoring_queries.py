@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskloom import constants as K
 from riskloom.functions.rules import score_messages
 from riskloom.functions.text import clean_messages, clean_steps
-from riskloom.operators import augment, bayes, cascade, metrics, nearest, sweep, tfidf
+from riskloom.operators import anomaly, augment, bayes, cascade, metrics, nearest, sweep, tfidf
 from riskloom.operators.models import combine_with_rules
 from riskloom.plans import tables as T
 from riskloom.session import staged
@@ -192,9 +192,24 @@ def j11(spark, folder):
         F.sum(F.col("is_open").cast("bigint")).alias("n_open"))
 
 
+def anomaly_scores(spark, folder):
+    """Forest scores of every message; the forest learns from legitimate messages."""
+    rows = staged(clean_steps(T.messages(spark, folder), "message", "clean").select(
+        "msg_id", "clean", (F.col("clean") == "").alias("is_blank")), "cleaned")
+    legit = T.labels(spark, folder).filter(F.col("label") == K.LEGITIMATE).select("msg_id")
+    train = rows.join(legit, "msg_id")
+    vocabulary = staged(tfidf.fit_tfidf(
+        train, text="clean", max_features=K.ANOMALY_MAX_FEATURES, ngrams=K.ANOMALY_NGRAMS), "vocabulary")
+    vectors = staged(tfidf.transform_tfidf(
+        rows, vocabulary, text="clean", ngrams=K.ANOMALY_NGRAMS, carry=["is_blank"]), "vectors")
+    known = vectors.join(legit, "msg_id")
+    return anomaly.score_forest(vectors, anomaly.fit_forest(known), known)
+
+
 def _sweep(spark, folder):
-    rows = with_meta(cascade_inputs(spark, folder)).withColumn(
-        "anomaly_score", F.lit(None).cast("double")).withColumn(
+    """No transformer is built, so its probability stays unknown."""
+    scores = anomaly_scores(spark, folder).select("msg_id", "anomaly_score")
+    rows = with_meta(cascade_inputs(spark, folder)).join(scores, "msg_id", "left").withColumn(
         "transformer_proba", F.lit(None).cast("double"))
     return sweep.sweep_thresholds(rows.join(T.labels(spark, folder), "msg_id"))
 
