@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import (
-    bpe, cover_tree, license_scan, minhash, mixing, quality_net, quality_rules, secret_scan, toxicity_net, url_filter)
+    alignment, bpe, byte_model, cover_tree, hard_negatives, license_scan, minhash, mixing, quality_net, quality_rules,
+    secret_scan, toxicity_net, url_filter)
 from riskloom.llm.common import table
 
 
@@ -48,8 +49,23 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.link_documents(table(spark, folder, "documents"))
 
 
+def op11_byte_model(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_model.score_documents(table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine_negatives(table(spark, folder, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_cover_tree, op2_bpe, op3_quality_classifier, op4_url_filter, op5_quality_rules,
-        op6_secret_scan, op7_source_mixing, op8_license_scan, op9_toxicity, op10_minhash)
+        op6_secret_scan, op7_source_mixing, op8_license_scan, op9_toxicity, op10_minhash,
+        op11_byte_model, op12_hard_negatives, op13_alignment)
 }
