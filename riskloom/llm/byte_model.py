@@ -65,6 +65,32 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return grams, counts
 
 
+class Places:
+    """Places of numbers in a sorted array of distinct ones, by a table of multiplied hashes.
+
+    Numbers of large weight come last into the table, so that they win a slot that several want;
+    the others are found by binary search.
+    """
+
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, numbers: np.ndarray, weights: np.ndarray):
+        bits = max(8, int(len(numbers)).bit_length() + 1)
+        self.numbers, self.shift = numbers, np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        order = np.argsort(weights, kind="stable").astype(np.int32)
+        self.slots[self._hash(numbers[order])] = order
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) * self._FACTOR) >> self.shift
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = self.slots[self._hash(x)]
+        wrong = np.flatnonzero(self.numbers[at] != x)
+        at[wrong] = np.searchsorted(self.numbers, x[wrong])
+        return at
+
+
 class _Chunk:
     """Texts until the chunk is full; then one row with its distinct grams and words."""
 
@@ -197,12 +223,13 @@ def trie_costs(counts: DataFrame, order: int = ORDER, grams_a_bucket: int = BUCK
 
 def _scored(order: int, train_tokens: int, train_words: int, ends: int) -> Callable:
     def work(_key, chunk: pa.Table, found: pa.Table) -> pa.Table:
-        row = chunk.to_pylist()[0]
+        row = {c: chunk.column(c)[0].as_py() for c in ("doc_id", "held_out", "sizes", "content", "words")}
         of_gram = found.column("is_gram").to_numpy(zero_copy_only=False)
         at, value = found.column("at").to_numpy(), found.column("value").to_numpy()
-        grams = np.array(row["grams"], np.int64)
+        grams = chunk.column("grams").combine_chunks().flatten().to_numpy()
         cost = np.empty(len(grams))
         cost[at[of_gram]] = value[of_gram]
+        places = Places(grams, cost)
         counts = np.zeros(len(row["words"]), np.int64)
         counts[at[~of_gram]] = value[~of_gram].astype(np.int64)
         below = np.log10(train_tokens + SMOOTH * (train_words + 1))
@@ -214,7 +241,7 @@ def _scored(order: int, train_tokens: int, train_words: int, ends: int) -> Calla
         for size in row["sizes"]:
             text = row["content"][start: start + size]
             start += size
-            score.append(float(sum(cost[np.searchsorted(grams, own)].sum() for own in slices_of(text, order))))
+            score.append(float(sum(cost[places(own)].sum() for own in slices_of(text, order))))
             words = text.split()
             base.append(float(sum(map(known_log.__getitem__, words))) + end_log)
             n_tokens.append(len(words) + 1)
