@@ -1,12 +1,12 @@
 """Licences in whole texts: fixed phrases, and an exact set-similarity join with templates.
 
-A text block is a window of three times the longest template's words, whatever the line
-breaks, as a set of words; windows start at every such length, so a notice spread over
-twice its length lies in one of them. Template words are ordered
-by how many documents have them, rarest first. A block that holds the asked share of a
-template must hold one of the template's first words (prefix), enough words at all
-(length), and enough of them from the shared word on (position). Survivors are counted
-exactly. Texts are read twice: for frequencies, then for blocks.
+For a template of n words a text block is a window of 2 n words, whatever the line breaks,
+as a set of words; windows start at every n words, so each notice lies whole in one of
+them. Template words, also those of a block, are ordered by how many documents have them,
+rarest first. A block that holds the asked share of a template must hold one of the
+template's first words (prefix), enough words at all (length), and enough words of both
+from the shared word on (position). Survivors are counted exactly. Texts are read twice:
+for frequencies, then for blocks.
 """
 
 import math
@@ -63,8 +63,8 @@ def phrase_places(words: Column) -> Column:
     return F.filter(places, lambda p: p["label"].isNotNull())
 
 
-def ordered_templates(docs: DataFrame, templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
-    """(number, label, words) with each template's words rarest first by document frequency.
+def ordered_templates(docs: DataFrame, templates=TEMPLATES) -> tuple[list[tuple[int, str, list[str]]], list[str]]:
+    """Templates (length, label, distinct words) and all their words, rarest first by document frequency.
 
     What reaches the driver is one count for each template word.
     """
@@ -72,48 +72,58 @@ def ordered_templates(docs: DataFrame, templates=TEMPLATES) -> list[tuple[int, s
     have = F.array_intersect(words_of(lowered(F.col("text"))), F.array(*map(F.lit, universe)))
     counts = {r["w"]: r["n"] for r in docs.select(F.explode(have).alias("w")).groupBy("w").agg(
         F.count("*").alias("n")).collect()}
-    return [(k, label, sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w)))
-            for k, (label, text) in enumerate(templates)]
+    order = sorted(universe, key=lambda w: (counts.get(w, 0), w))
+    return [(len(text.split()), label, [w for w in order if w in set(text.split())]) for label, text in templates], order
 
 
 def needed(words: list[str], threshold: float) -> int:
     return math.ceil(threshold * len(words) - 1e-9)
 
 
-def blocks_of(low: Column, templates: list, threshold: float, longest: int) -> Column:
-    """Sets of template words of the blocks that hold a prefix word and enough words.
+def blocks_of(low: Column, templates: list, order: list[str], threshold: float) -> Column:
+    """Structs (length, block) of the windows that may hold enough of a template of that length.
 
-    ``longest`` is the number of words of the longest template.
+    A block is a set of template words, rarest first. Windows of twice a template's
+    length start at every such length; only texts with enough of a template's words have any.
     """
-    universe = sorted({w for _, _, words in templates for w in words})
-    prefix = F.array(*map(F.lit, sorted({w for _, _, words in templates
-                                         for w in words[: len(words) - needed(words, threshold) + 1]})))
-    least = min(needed(words, threshold) for _, _, words in templates)
-    known = F.transform(words_of(low), lambda w: F.when(w.isin(universe), w))
+    known = F.transform(words_of(low), lambda w: F.when(w.isin(order), w))
+    ranked = F.array(*map(F.lit, order))
+    nothing = F.array().cast("array<struct<length:int,block:array<string>>>")
+
+    def of_length(found, whole, length):
+        own = [words for n, _, words in templates if n == length]
+        some = F.lit(False)
+        for words in own:
+            some = some | (F.size(F.array_intersect(whole, F.array(*map(F.lit, words)))) >= needed(words, threshold))
+        least = min(needed(words, threshold) for words in own)
+        prefix = F.array(*map(F.lit, sorted({w for words in own for w in words[: len(words) - needed(words, threshold) + 1]})))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(length))
+        sets = F.transform(starts, lambda i: F.array_intersect(ranked, F.slice(found, i + 1, 2 * length)))
+        fit = F.filter(sets, lambda block: (F.size(block) >= least) & F.arrays_overlap(block, prefix))
+        return F.when(some, F.transform(fit, lambda block: F.struct(F.lit(length).alias("length"), block.alias("block")))) \
+            .otherwise(nothing)
 
     def windows(found):
-        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(longest))
-        sets = F.transform(starts, lambda i: F.array_distinct(F.array_compact(F.slice(found, i + 1, 3 * longest))))
-        return F.filter(sets, lambda block: (F.size(block) >= least) & F.arrays_overlap(block, prefix))
+        return let(F.array_intersect(ranked, found), lambda whole: F.concat(
+            *(of_length(found, whole, n) for n in sorted({n for n, _, _ in templates}))))
 
     return F.array_distinct(let(known, windows))
 
 
 def matches(blocks: DataFrame, templates: list, threshold: float) -> DataFrame:
-    """(row, label, share) of every block (row, block) and template with enough in common."""
+    """(row, label, share) of every (row, length, block) and template of that length with enough in common."""
     spark = blocks.sparkSession
     index = spark.createDataFrame(
-        [(word, place, number, label, words, len(words), needed(words, threshold))
-         for number, label, words in templates
+        [(word, length, place, label, words, len(words), needed(words, threshold))
+         for length, label, words in templates
          for place, word in enumerate(words[: len(words) - needed(words, threshold) + 1])],
-        "word string, place int, number int, label string, words array<string>, m int, need int")
-    probe = blocks.select("row", "block", F.explode("block").alias("word"))
+        "word string, length int, place int, label string, words array<string>, m int, need int")
+    probe = blocks.select("row", "length", "block", F.posexplode("block").alias("at", "word"))
     # the index holds the prefix words of the listed templates: bounded by TEMPLATES
-    found = probe.join(F.broadcast(index), "word") \
-        .filter((F.size("block") >= F.col("need")) & (F.col("m") - F.col("place") >= F.col("need")))
-    share = F.size(F.array_intersect("block", "words")) / F.col("m")
-    return found.withColumn("share", share).filter(F.size(F.array_intersect("block", "words")) >= F.col("need")) \
-        .select("row", "label", "share")
+    found = probe.join(F.broadcast(index), ["word", "length"]) \
+        .filter(F.least(F.size("block") - F.col("at"), F.col("m") - F.col("place")) >= F.col("need"))
+    met = found.withColumn("n", F.size(F.array_intersect("block", "words"))).filter("n >= need")
+    return met.select("row", "label", (F.col("n") / F.col("m")).alias("share"))
 
 
 def scan_documents(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,7 +133,7 @@ def scan_documents(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     holds, else 0. Null texts count as empty; repeated rows stay and get equal results;
     only doc_id and text are read. An empty table gives an empty result.
     """
-    ordered = ordered_templates(docs, templates)
+    ordered, universe = ordered_templates(docs, templates)
     raw = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), raw.alias("text")) \
         .select("doc_id", "text", lowered(F.col("text")).alias("low"))
@@ -132,9 +142,8 @@ def scan_documents(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     read = staged(rows.select(
         "doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("row"),
         F.regexp_count("text", F.lit(_WORD)).cast("bigint").alias("n_words"), places.alias("places"),
-        blocks_of(F.col("low"), ordered, threshold, max(len(text.split()) for _, text in templates))
-        .alias("blocks")), "licences")
-    found = matches(read.select("row", F.explode("blocks").alias("block")).distinct(), ordered, threshold) \
+        blocks_of(F.col("low"), ordered, universe, threshold).alias("blocks")), "licences")
+    found = matches(read.select("row", F.inline("blocks")).distinct(), ordered, threshold) \
         .groupBy(F.col("row").alias("_row")).agg(
             F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))
     joined = read.join(found, read.row == found._row, "left")

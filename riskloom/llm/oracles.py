@@ -58,10 +58,13 @@ single AS (
   SELECT doc_id, source, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D[:punct:]0-9]+', ' ', 'g')) AS h,
     len(regexp_extract_all(l, '{_WORD}')) AS words
   FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM texts)),
-found AS (SELECT source, h, count(DISTINCT text) AS n FROM single GROUP BY source, h HAVING count(DISTINCT text) > {quality_rules.LINE_LEAST}),
-hosts AS (SELECT source, count(DISTINCT text) AS n_all FROM texts GROUP BY source),
+often AS (SELECT source, h FROM single GROUP BY source, h HAVING count(DISTINCT text) > {quality_rules.LINE_LEAST}),
+shares AS (SELECT doc_id, sum(words) AS n FROM single SEMI JOIN often USING (source, h) GROUP BY doc_id),
+witnesses AS (
+  SELECT doc_id FROM texts JOIN shares s USING (doc_id) WHERE len(w) - s.n >= {quality_rules.WORDS_LEFT} * len(w)),
 boiler AS (
-  SELECT f.source, f.h FROM found f JOIN hosts USING (source) WHERE n > {quality_rules.LINE_SHARE} * n_all),
+  SELECT source, h FROM single SEMI JOIN witnesses USING (doc_id) SEMI JOIN often USING (source, h)
+  GROUP BY source, h HAVING count(DISTINCT text) > {quality_rules.LINE_LEAST}),
 lost AS (SELECT doc_id, sum(words) AS n FROM single SEMI JOIN boiler USING (source, h) GROUP BY doc_id),
 figures AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
@@ -100,10 +103,25 @@ WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), ch
 base AS ({matches(0, secret_scan.ASSIGN, f"length(regexp_replace(found, '{value}', '')) >= {secret_scan.LEAST_VALUE}")}
   UNION ALL {matches(1, secret_scan.ACCESS, f"length(found) >= {secret_scan.LEAST_ACCESS}")}
   UNION ALL {matches(2, secret_scan.HEX, "true")}),
-long AS ({matches(3, secret_scan.CANDIDATE, f"NOT ({allowed})")}),
+long AS ({matches(3, secret_scan.CANDIDATE, "true")}),
+met AS (
+  SELECT c.doc_id, c.start, c.stop, c.found, b.start AS cut, b.stop AS resume
+  FROM long c JOIN base b ON b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop),
+edges AS (
+  SELECT doc_id, start, stop, found, start AS begin, 0 AS first FROM long
+  UNION ALL SELECT doc_id, start, stop, found, resume, 1 FROM met),
+gaps AS (
+  SELECT doc_id, start, found, begin,
+    coalesce((SELECT min(cut) FROM met m WHERE m.doc_id = e.doc_id AND m.start = e.start AND m.cut >= e.begin), stop) AS finish
+  FROM (SELECT DISTINCT doc_id, start, stop, found, begin FROM edges) e
+  WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.doc_id = e.doc_id AND m.start = e.start AND m.cut <= e.begin AND m.resume > e.begin)),
+stretches AS (
+  SELECT doc_id, substr(found, (begin - start + 1)::BIGINT, (finish - begin)::BIGINT) AS whole, finish AS stop
+  FROM gaps WHERE finish - begin >= {secret_scan.WINDOW}),
+rests AS (SELECT doc_id, stop, regexp_replace(whole, '{_quoted(secret_scan.DATES)}', '') AS found FROM stretches),
 free AS (
-  SELECT * FROM long c WHERE NOT EXISTS (
-    SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)),
+  SELECT doc_id, stop - length(found) AS start, stop, found FROM rests
+  WHERE length(found) >= {secret_scan.WINDOW} AND NOT ({allowed})),
 shown AS (SELECT *, unnest(range(1, length(found) - {secret_scan.WINDOW - 2})) AS w FROM free),
 letters AS (SELECT doc_id, start, stop, found, w, c, count(*) / {secret_scan.WINDOW}.0 AS p FROM (
   SELECT doc_id, start, stop, found, w, unnest(string_split(substr(found, w, {secret_scan.WINDOW}), '')) AS c FROM shown)
@@ -128,7 +146,7 @@ def _op8() -> str:
         + " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase))
         for phrase, label in license_scan.PHRASES.items())
     templates = ", ".join(
-        f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}], "
+        f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}], {len(text.split())}, "
         f"{license_scan.needed(sorted(set(text.split())), license_scan.THRESHOLD)})"
         for k, (label, text) in enumerate(license_scan.TEMPLATES))
     cut = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -140,14 +158,12 @@ places AS ({places}),
 base AS (
   SELECT doc_id, count(*) AS n, min(nr) AS first_word, max(nr) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
-lines AS (
-  SELECT doc_id, generate_subscripts(ls, 1) AS k, regexp_extract_all(unnest(ls), '{cut}') AS w
-  FROM (SELECT doc_id, string_split(low, chr(10)) AS ls FROM texts)),
+templates(number, label, t, n, need) AS (VALUES {templates}),
 blocks AS (
-  SELECT doc_id, list_distinct(w || coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY k), [])) AS b FROM lines),
-templates(number, label, t, need) AS (VALUES {templates}),
+  SELECT doc_id, n, list_distinct(w[i + 1 : i + 2 * n]) AS b
+  FROM (SELECT doc_id, w, n, unnest(range(0, greatest(len(w), 1), n)) AS i FROM texts, (SELECT DISTINCT n FROM templates))),
 shares AS (
-  SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
+  SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks JOIN templates USING (n)
   WHERE len(list_intersect(b, t)) >= need),
 labelled AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

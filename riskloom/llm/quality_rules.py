@@ -1,8 +1,10 @@
 """Quality rules: fixed limits of a text, and lines that many documents of a host share.
 
 Lines are normalised and hashed; a line found in more than a fixed number of its host's
-distinct texts is boilerplate, however large the host. A document that loses too many of its words with such
-lines is depleted and rejected. Everything is built-in column functions.
+distinct texts is frequent, however large the host, and boilerplate if so many of these
+texts have words enough of their own beside their frequent lines. A document that loses
+too many of its words with boilerplate is depleted and rejected. Everything is built-in
+column functions.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,6 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED = 50      # percent of words in repeated three-word windows
-LINE_SHARE = 0.1        # of a host's distinct texts: the former limit, read by the SQL twin alone
 LINE_LEAST = 10         # distinct texts up to which a line is never boilerplate
 WORDS_LEFT = 0.3        # share of its words that a document must keep
 
@@ -88,26 +89,42 @@ def measured(docs: DataFrame) -> DataFrame:
              "_l.n_dup_lines", "_w.n_repeat_words", "_l.lines")
 
 
-def boilerplate(rows: DataFrame, least: int = LINE_LEAST) -> DataFrame:
+def _lost(lines: Column, removed: Column) -> Column:
+    """Words of the lines whose hash is among ``removed``."""
+    return F.coalesce(F.aggregate(F.filter(lines, lambda line: F.array_contains(removed, line["h"])), F.lit(0),
+                                  lambda total, line: total + line["words"]), F.lit(0))
+
+
+def _above(single: DataFrame, least: int) -> DataFrame:
     """(source, h): lines in more than ``least`` of a source's distinct texts."""
-    return rows.select("source", "text_id", F.explode("lines").alias("_line")) \
-        .select("source", "text_id", F.col("_line.h").alias("h")) \
-        .groupBy("source", "h").agg(F.countDistinct("text_id").alias("n_docs")) \
+    return single.groupBy("source", "h").agg(F.countDistinct("text_id").alias("n_docs")) \
         .filter(F.col("n_docs") > least).select("source", "h")
 
 
+def _held(rows: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """(_row, ``name``): those hashes of each row's lines that stand in ``lines``."""
+    single = rows.select("row", "source", F.explode("lines.h").alias("h"))
+    return single.join(lines, single.source.eqNullSafe(lines.source) & (single.h == lines.h)) \
+        .groupBy(single.row.alias("_row")).agg(F.collect_set(single.h).alias(name))
+
+
 def judged(rows: DataFrame, least: int = LINE_LEAST, left: float = WORDS_LEFT) -> DataFrame:
-    """``rows`` (staged figures) with base_failed, kept, words_left and the hashes of lines to remove."""
-    lines = boilerplate(rows, least)
-    single = rows.select("row", "source", F.explode("lines").alias("_line")) \
-        .select("row", "source", F.col("_line.h").alias("h"))
-    drops = single.join(lines, single.source.eqNullSafe(lines.source) & (single.h == lines.h)) \
-        .groupBy(single.row.alias("_row")).agg(F.collect_set(single.h).alias("removed_lines"))
-    joined = rows.join(drops, rows.row == drops._row, "left")
-    lost = F.aggregate(F.filter("lines", lambda line: F.array_contains("removed_lines", line["h"])), F.lit(0),
-                       lambda total, line: total + line["words"])
+    """``rows`` (staged figures) with base_failed, kept, words_left and the hashes of lines to remove.
+
+    A text that frequent lines make up almost whole is no witness of them: a cluster of
+    near copies would else pass all its own lines off as boilerplate and vanish.
+    """
+    often = _held(rows, _above(rows.select("source", "text_id", F.explode("lines.h").alias("h")), least), "often")
+    seen = staged(rows.join(often, rows.row == often._row).dropDuplicates(["_row"]).select(
+        "_row", "source", "text_id", "often",
+        (F.col("n_words") - _lost(F.col("lines"), F.col("often")) >= left * F.col("n_words")).alias("witness")),
+        "frequent-lines")
+    removed = _held(
+        seen.select(F.col("_row").alias("row"), "source", F.transform("often", lambda h: F.struct(h.alias("h"))).alias("lines")),
+        _above(seen.filter("witness").select("source", "text_id", F.explode("often").alias("h")), least), "removed_lines")
+    joined = rows.join(removed, rows.row == removed._row, "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return joined.withColumn("words_left", F.col("n_words") - F.coalesce(lost, F.lit(0))) \
+    return joined.withColumn("words_left", F.col("n_words") - _lost(F.col("lines"), F.col("removed_lines"))) \
         .withColumn("base_failed", failed) \
         .withColumn("kept", ~failed & (F.col("words_left") >= left * F.col("n_words"))).drop("_row", "lines")
 
@@ -125,7 +142,11 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """Documents that are kept, all columns, without their boilerplate lines; n_chars follows the text."""
+    """Documents that are kept, all columns, without their boilerplate lines; n_chars follows the text.
+
+    Null and empty texts fail and go; rows with null ids or null sources are judged like
+    others; repeated rows all stay or all go. An empty table gives an empty result.
+    """
     verdicts = judged(staged(measured(docs), "lines")).filter("kept") \
         .select(F.col("row").alias("_row"), F.col("removed_lines").alias("_removed")).dropDuplicates(["_row"])
     joined = docs.withColumn("_key", row_key(docs)).join(verdicts, F.col("_key") == F.col("_row"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -152,11 +153,11 @@ def test_quality_figures(spark):
 def test_boilerplate_lines_go_and_depleted_documents_too(spark):
     spelled = str.maketrans("0123456789", "abcdefghij")  # digits don't count in a line
     body = lambda i: " ".join(f"w{i}x{k}".translate(spelled) for k in range(60))
-    common = "Shared footer of the site, " * 6
-    rows = [(i, body(i) + "\n" + common + str(i % 3), "a") for i in range(30)]
-    rows += [(100, common + "\n" + common.upper() + "!\nonly few words more of its own here in this text", "a")]
-    rows += [(200 + i, body(200 + i) + "\n" + common, "b") for i in range(9)]   # too few in this host
-    rows += [(300, rows[0][1], "c")] * 40                                        # copies are one text
+    foot = [" ".join(f"foot{k}x{j}".translate(spelled) for j in range(20)) for k in range(3)]
+    rows = [(i, body(i) + "\n" + "\n".join(f + f" {i % 3}" for f in foot), "a") for i in range(30)]
+    rows += [(100, "\n".join(f.upper() + "!" for f in foot) + "\nonly few words more of its own here in this text", "a")]
+    rows += [(200 + i, body(200 + i) + "\n" + foot[0], "b") for i in range(9)]  # too few in this host
+    rows += [(300, rows[0][1], "c")] * 40                                         # copies are one text
     docs = frame(spark, rows)
     judged = {r.doc_id: r for r in quality_rules.judge_documents(docs).collect()}
     assert judged[0].kept and judged[0].words_left == 60
@@ -167,6 +168,17 @@ def test_boilerplate_lines_go_and_depleted_documents_too(spark):
     assert quality_rules.keep_documents(docs).filter("doc_id = 300").count() == 40
 
 
+def test_variants_of_an_article_stay(spark):
+    spelled = str.maketrans("0123456789", "abcdefghij")
+    line = lambda *key: " ".join(("x".join(map(str, key)) + f"x{j}").translate(spelled) for j in range(12))
+    article = [line(k) for k in range(6)]
+    rows = [(i, "\n".join(line(i, "own") if k == i % 6 else x for k, x in enumerate(article)), "a") for i in range(300)]
+    rows += [(1000 + i, "\n".join(line(1000 + i, k) for k in range(6)) + "\n" + line("foot"), "a") for i in range(200)]
+    judged = {r.doc_id: r for r in quality_rules.judge_documents(frame(spark, rows)).collect()}
+    assert all(judged[i].kept and judged[i].words_left == 72 for i in range(300))
+    assert all(judged[i].kept and judged[i].words_left == 72 < judged[i].n_words for i in range(1000, 1200))
+
+
 def test_a_line_in_one_percent_of_a_large_host_goes(spark):
     spelled = str.maketrans("0123456789", "abcdefghij")
     body = lambda i: " ".join(f"w{i}x{k}".translate(spelled) for k in range(60))
@@ -189,14 +201,16 @@ def _secrets(text):
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
     every = list(base)
     for m in re.finditer(secret_scan.CANDIDATE, text):
-        found = m.group()
-        if any(s < m.end() and m.start() < e for s, _, e in base) or any(
-                re.search(p, found) for p in secret_scan.ALLOWED):
-            continue
-        best = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(found[i:i + 20]).values())
-                   for i in range(len(found) - 19))
-        if best >= (secret_scan.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", found) else secret_scan.MIXED_BITS):
-            every.append((m.start(), 3, m.end()))
+        free = [k for k in range(m.start(), m.end()) if not any(x <= k < e for x, _, e in base)]
+        runs = [[k for _, k in g] for _, g in itertools.groupby(enumerate(free), lambda p: p[1] - p[0])]
+        for start, end in ((r[0], r[-1] + 1) for r in runs if len(r) >= 20):
+            found = re.sub(secret_scan.DATES, "", text[start:end])
+            if len(found) < 20 or any(re.search(p, found) for p in secret_scan.ALLOWED):
+                continue
+            best = max(-sum(c / 20 * math.log2(c / 20) for c in collections.Counter(found[i:i + 20]).values())
+                       for i in range(len(found) - 19))
+            if best >= (secret_scan.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", found) else secret_scan.MIXED_BITS):
+                every.append((end - len(found), 3, end))
     write = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
     return (*(sum(k == n for _, k, _ in base) for n in range(3)),
             hashlib.sha256(write(base).encode()).hexdigest(), write(every))
@@ -278,11 +292,11 @@ def _licences(text):
     words = word.findall(text)
     places = sorted((i, label) for phrase, label in license_scan.PHRASES.items()
                     for i in range(len(words)) if tuple(words[i:i + len(phrase)]) == phrase)
-    lines, best, labels = [set(word.findall(x)) for x in text.split("\n")], 0.0, {x for _, x in places}
-    for i, line in enumerate(lines):
-        block = line | (lines[i + 1] if i + 1 < len(lines) else set())
-        for label, template in license_scan.TEMPLATES:
-            wanted = set(template.split())
+    best, labels = 0.0, {x for _, x in places}
+    for label, template in license_scan.TEMPLATES:
+        wanted, n = set(template.split()), len(template.split())
+        for i in range(0, max(len(words), 1), n):
+            block = set(words[i:i + 2 * n])
             if len(block & wanted) >= math.ceil(0.8 * len(wanted) - 1e-9):
                 labels.add(label)
                 best = max(best, len(block & wanted) / len(wanted))
@@ -310,13 +324,15 @@ def test_licences_whatever_the_line_breaks(spark):
         words = text.split()
         wrapped = "\n * ".join(" ".join(words[i:i + 3]) for i in range(0, len(words), 3))
         double = "\n\n".join(" ".join(words[i:i + 5]) for i in range(0, len(words), 5))
-        for j, notice in enumerate((wrapped, double, "\n".join(words), "\n# x ".join(words))):
+        for j, notice in enumerate((wrapped, double, "\n".join(words), "\n# ".join(words))):
             for at in (0, 1, 17, 40, 333):
                 rows.append((1000 * k + 100 * j + len(rows) % 5, filler(at) + "\n" + notice + "\n" + filler(90), "s"))
     far = " ".join(w + " " + filler(40) for w in license_scan.TEMPLATES[5][1].split())  # one line, by chance
     rows.append((99999, far, "s"))
+    rows.append((99998, "mit " + filler(9) + " licensed under the apache license " + filler(40), "s"))
     out = {r.doc_id: r for r in license_scan.scan_documents(frame(spark, rows)).collect()}
-    for i, _, _ in rows[:-1]:
+    assert out[99998].labels == "apache"
+    for i, _, _ in rows[:-2]:
         assert license_scan.TEMPLATES[i // 1000][0] in out[i].labels.split(",") and out[i].score == 1
     assert out[99999].labels == "" and out[99999].score == 0
 
