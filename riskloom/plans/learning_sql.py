@@ -32,7 +32,7 @@ _PERTURB = f"""{X.DOCS}, fan AS (SELECT msg_id, t, w, v AS variant, (msg_id * 31
   (msg_id * 7919 + v * 104729 + 42) % 2147483647 AS r,
   list_filter(list_transform(w, lambda x, i: CASE WHEN length(x) >= 3 THEN i END), lambda z: z IS NOT NULL) AS lo,
   list_filter(list_transform(w, lambda x, i: CASE WHEN length(x) <= 5 THEN i END), lambda z: z IS NOT NULL) AS sh
-  FROM (SELECT msg_id, t, {X.words('t')} AS w FROM docs) CROSS JOIN range(10) g(v)),
+  FROM (SELECT msg_id, t, {X.words('t')} AS w FROM docs) CROSS JOIN range(200) g(v)),
 spot AS (SELECT *, CASE WHEN kd = 0 AND len(lo) > 0 THEN lo[r % len(lo) + 1]
   WHEN kd = 1 THEN CASE WHEN len(sh) > 0 THEN sh[r % len(sh) + 1] WHEN len(w) > 0 THEN r % len(w) + 1 END
   WHEN kd = 3 AND len(w) > 0 THEN r % len(w) + 1 END AS pt FROM fan),
@@ -94,7 +94,7 @@ SQL = {
         round(avg(CASE WHEN risk_level = 'high' THEN 1.0::DOUBLE ELSE 0 END), 4) AS fr FROM sv GROUP BY msg_id),
       fin AS (SELECT *, round(least(greatest(1.0::DOUBLE - sd / greatest(m, 1.0), 0), 1), 4) AS stab FROM st)
       SELECT fin.msg_id, round(m, 2) AS mean_score, round(sd, 2) AS std_score, round(lo, 2) AS ci_low, round(hi, 2) AS ci_high,
-      stab AS stability, fr AS fraud_rate, so.risk_score::DOUBLE AS original_score, 10 AS n_simulations,
+      stab AS stability, fr AS fraud_rate, so.risk_score::DOUBLE AS original_score, 200 AS n_simulations,
       CASE WHEN stab >= 0.85 AND fr >= 0.80 THEN {X.q(K.STABILITY_TEXT['fraud'])} WHEN stab >= 0.85 AND fr < 0.30 THEN {X.q(K.STABILITY_TEXT['legit'])}
       WHEN stab >= 0.70 THEN {X.q(K.STABILITY_TEXT['stable'])} WHEN stab >= 0.50 THEN {X.q(K.STABILITY_TEXT['moderate'])}
       ELSE {X.q(K.STABILITY_TEXT['unstable'])} END AS verdict FROM fin JOIN so USING (msg_id)""",
