@@ -79,6 +79,8 @@ inputs AS (SELECT *, CASE WHEN clean = '' THEN 'low' ELSE
       CASE risk_level WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END END AS model_level,
     CASE WHEN clean <> '' THEN conf END AS confidence
   FROM (SELECT s.msg_id, c.t AS clean, s.risk_score, s.risk_level, bayes_score, cbr_score, fraud_similarity, legit_similarity,
+    (s.msg_id % 1000 * 617) % 1000 / 1000.0::DOUBLE AS anomaly_score,
+    CASE WHEN s.msg_id % 4 <> 3 THEN (s.msg_id % 1000 * 389) % 1000 / 1000.0::DOUBLE END AS transformer_proba,
     CASE WHEN cbr_score >= 0.5 THEN 'fraudulent' ELSE 'legitimate' END AS predicted_class,
     greatest(cbr_score, 1 - cbr_score) AS conf FROM scored s JOIN cdocs c USING (msg_id) JOIN cases USING (msg_id)
     JOIN bayes USING (msg_id) LEFT JOIN best ON best.vec_id = s.msg_id)),
@@ -100,6 +102,8 @@ def _gates(source: str, c: dict, name: str = "gated") -> str:
 def _boosts(c: dict) -> str:
     return f"""greatest({_rank('model_level')},
   CASE WHEN searched AND fraud_similarity >= {c['emb_boost_high']} THEN 2 WHEN searched AND fraud_similarity >= {c['emb_boost_medium']} THEN 1 ELSE 0 END,
+  CASE WHEN anomaly_score >= {c['anomaly_boost_thr']} AND predicted_class = 'legitimate' THEN 1 ELSE 0 END,
+  CASE WHEN transformer_proba >= {c['transformer_high']} THEN 2 WHEN transformer_proba >= {c['transformer_med']} THEN 1 ELSE 0 END,
   CASE WHEN bayes_score >= {c['bayes_high_thr']} THEN 1 ELSE 0 END,
   CASE WHEN cbr_score >= {c['cbr_high_thr']} AND predicted_class <> 'legitimate' THEN 1 ELSE 0 END)"""
 
@@ -125,7 +129,7 @@ final AS (SELECT *, CASE CASE WHEN meta_used THEN greatest(base, CASE WHEN mp >=
 decided AS (SELECT msg_id, CASE WHEN judged THEN verdict ELSE predicted_class END AS predicted_class,
   round(CASE WHEN judged THEN vconf ELSE confidence END, 4) AS confidence, lvl AS risk_level, risk_score, is_open,
   CASE lvl {advice} END || CASE WHEN judged AND NOT meta_used THEN CASE fraud_type {suffix} ELSE '' END ELSE '' END AS recommendation,
-  'rules,ml,bayes,cbr' || CASE WHEN searched THEN ',embeddings' ELSE '' END || CASE WHEN judged THEN ',llm' ELSE '' END
+  'rules,ml' || CASE WHEN transformer_proba IS NOT NULL THEN ',transformer' ELSE '' END || ',anomaly,bayes,cbr' || CASE WHEN searched THEN ',embeddings' ELSE '' END || CASE WHEN judged THEN ',llm' ELSE '' END
     || CASE WHEN meta_used THEN ',meta' ELSE '' END AS layers_used FROM final)"""
 
 
@@ -193,7 +197,7 @@ SQL = {
     "j7_meta_features": f"""WITH {_INPUTS} SELECT msg_id, round(CASE WHEN predicted_class = 'fraudulent'
       THEN coalesce(confidence, 0) ELSE 1 - coalesce(confidence, 0) END, 4) AS ml_proba_fraud,
       round(risk_score / 100.0::DOUBLE, 4) AS rule_score_norm, coalesce(fraud_similarity, 0) AS emb_fraud_sim,
-      coalesce(legit_similarity, 0) AS emb_legit_sim, 0.0::DOUBLE AS anomaly_score, 0.0::DOUBLE AS transformer_proba,
+      coalesce(legit_similarity, 0) AS emb_legit_sim, round(anomaly_score, 4) AS anomaly_score, coalesce(round(transformer_proba, 4), 0) AS transformer_proba,
       bayes_score, cbr_score FROM inputs""",
     "j9_meta_override": f"WITH {_INPUTS}, {_decide('meta', True, True)} {_OUT}",
     "j10_threshold_overrides": f"WITH {_INPUTS}, {_decide('meta', False, True, _RELAXED)} {_OUT}",
