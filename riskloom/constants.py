@@ -267,6 +267,8 @@ SWEEP_BOUNDS = {
     "anomaly_boost_thr": (0.50, 0.99), "bayes_high_thr": (0.50, 0.99),
     "meta_high_thr": (0.40, 0.90),
 }
+LEAF_ROWS = 20          # least rows of a leaf of boosted trees
+TRAINING_ROWS = 20_000  # rows that are worth a partition of their own in training
 BOOSTING_BOUNDS = {
     "maxIter": (50, 500), "maxDepth": (2, 10),
     "stepSize": (0.01, 0.30), "minInstancesPerNode": (5, 80),

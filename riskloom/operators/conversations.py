@@ -6,6 +6,11 @@ reach into; every later step works on such blocks, on single windows, or on runs
 of overlapping suspicious windows.
 """
 
+import sys
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -279,33 +284,58 @@ def merge_spans(spans: DataFrame, overlap_ratio: float | None = None) -> DataFra
     Spans are visited by (start, score descending, end).  A span that overlaps a
     kept one by ``overlap_ratio`` of the shorter is absorbed by the first such
     span, and replaces it when its score is higher.  Only spans that share
-    messages can affect each other, so the fold runs per island.
+    messages can affect each other, so every island is scanned on its own, in order,
+    holding no more than the spans that reach the current turn.
     """
     ratio = K.CONVERSATION_DEFAULTS["overlap_ratio"] if overlap_ratio is None else overlap_ratio
     # Read twice below; few rows compared with the windows they come from.
     spans = staged(spans, "candidates")
     keys = ["conv_id", "pattern_type"]
-    span = F.struct(F.col("start_idx"), (-F.col("score")).alias("rev"), F.col("end_idx"), F.col("score"))
-    grouped = _islands(spans, keys).groupBy(*keys, "island").agg(
-        F.sort_array(F.collect_list(span)).alias("_spans"))
-    kind = "array<struct<start_idx:int,rev:double,end_idx:int,score:double>>"
-
-    def overlaps(kept: Column, new: Column) -> Column:
-        shared = F.least(kept["end_idx"], new["end_idx"]) - F.greatest(
-            kept["start_idx"], new["start_idx"]) + 1
-        shorter = F.least(kept["end_idx"] - kept["start_idx"], new["end_idx"] - new["start_idx"]) + 1
-        return F.greatest(shared, F.lit(0)) / shorter >= ratio
-
-    def visit(kept: Column, new: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: overlaps(k, new)), True)
-        return F.when(at == 0, F.concat(kept, F.array(new))).when(
-            new["score"] > F.element_at(kept, at.cast("int"))["score"],
-            F.transform(kept, lambda k, i: F.when(i == at - 1, new).otherwise(k)),
-        ).otherwise(kept)
-
-    merged = F.aggregate("_spans", F.array().cast(kind), visit)
-    return grouped.select(*keys, F.explode(merged).alias("s")).select(
-        *keys, "s.start_idx", "s.end_idx", F.col("s.score").alias("rule_score"))
+    ordered = _islands(spans, keys).select(
+        *keys, "island", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"),
+        F.col("score").cast("double").alias("score")).repartition(*keys, "island") \
+        .sortWithinPartitions(*keys, "island", "start_idx", F.desc("score"), "end_idx")
+    kind = spans.schema["conv_id"].dataType.simpleString()
+    return ordered.mapInArrow(_scan(ratio), f"conv_id {kind}, pattern_type string, start_idx int, end_idx int, rule_score double")
+
+
+def _scan(ratio: float) -> Callable:
+    """Ordered scan over the spans of a partition; only spans that can still overlap are held."""
+    names = ["conv_id", "pattern_type", "start_idx", "end_idx", "rule_score"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, done, types = None, [], [], None
+
+        def written() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("conv_id", "pattern_type", "start_idx", "end_idx", "score")]
+            types = [c.type for c in columns]
+            islands = batch.column("island").to_pylist()
+            for conv, pattern, start, end, score, island in zip(*(c.to_pylist() for c in columns), islands, strict=True):
+                if (conv, pattern, island) != group:
+                    done += [(*group[:2], *k) for k in held]
+                    group, held = (conv, pattern, island), []
+                elif ratio > 0:
+                    done += [(conv, pattern, *k) for k in held if k[1] < start]
+                    held = [k for k in held if k[1] >= start]
+                for k in held:
+                    shared = max(min(k[1], end) - max(k[0], start) + 1, 0)
+                    if shared / (min(k[1] - k[0], end - start) + 1) >= ratio:
+                        if score > k[2]:
+                            k[:] = start, end, score
+                        break
+                else:
+                    held.append([start, end, score])
+            yield written()
+            done = []
+        if held:
+            done = [(*group[:2], *k) for k in held]
+            yield written()
+    return work
 
 
 def combine_verdicts(matches: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -350,3 +380,7 @@ def summarize(turns: DataFrame, matches: DataFrame, config: dict | None = None)
         F.coalesce("patterns_found", F.lit(0)).alias("patterns_found"),
         F.coalesce("overall_score", F.lit(0.0)).alias("overall_score"),
     ).withColumn("overall_risk", conversation_level(F.col("overall_score"), config))
+
+
+# Task functions travel by value: executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

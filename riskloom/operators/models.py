@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -21,7 +22,7 @@ from riskloom.functions.features import with_manual_features
 from riskloom.functions.rules import score_messages
 from riskloom.functions.text import clean_messages, clean_steps
 from riskloom.operators import split, tfidf
-from riskloom.session import scratch_path, staged
+from riskloom.session import scratch_dir, scratch_path, staged
 
 SUPPORTED = [
     "naive_bayes", "logistic_regression", "linear_svc", "linear_svc_calibrated",
@@ -51,7 +52,8 @@ def make_classifier(name: str, weighted: bool = True, **overrides):
         "linear_svc_calibrated": (LinearSVC, {"maxIter": 100, "regParam": 0.001}),
         "random_forest": (RandomForestClassifier, {"numTrees": 100, "seed": K.SEED}),
         "boosted_trees": (
-            GBTClassifier, {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": K.SEED}),
+            GBTClassifier, {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "minInstancesPerNode": K.LEAF_ROWS,
+                            "cacheNodeIds": True, "checkpointInterval": 10, "seed": K.SEED}),
     }
     kind, defaults = kinds[canonical_name(name)]
     return kind(**{**common, **defaults, **overrides})
@@ -93,6 +95,34 @@ def sparse_features(
         F.concat("vector.weight", "_manual").alias("values"))
 
 
+def filled_columns(rows: DataFrame, least: int) -> list[int]:
+    """Features that at least ``least`` rows fill, in order; bounded by the number of features.
+
+    With no negative values a split sends empty rows one way, so a tree whose leaves hold
+    ``least`` rows can't split by any other feature: leaving them out changes no tree.
+    """
+    filled = rows.select(F.explode(F.filter(F.arrays_zip("ids", "values"), lambda p: p["values"] != 0)).alias("_p"))
+    counts = filled.groupBy(F.col("_p.ids").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return sorted(r["id"] for r in counts.select("id").collect())
+
+
+def narrowed(rows: DataFrame, columns: list[int] | None, size: int) -> DataFrame:
+    """``ids``/``values`` of the kept columns alone, numbered anew."""
+    if columns is None:
+        return rows
+    place = np.full(size, -1, np.int32)
+    place[columns] = np.arange(len(columns))
+    at = F.lit(place)
+    pairs = F.filter(F.transform(F.arrays_zip("ids", "values"), lambda p: F.struct(
+        F.get(at, p["ids"]).alias("id"), p["values"].alias("value"))), lambda p: p["id"] >= 0)
+    return rows.withColumn("_kept", pairs).withColumns({"ids": F.col("_kept.id"), "values": F.col("_kept.value")}).drop("_kept")
+
+
+def sized(table: DataFrame, n: int) -> DataFrame:
+    """A written table in as many partitions as ``n`` rows are worth, never more than it has."""
+    return table.coalesce(max(1, n // K.TRAINING_ROWS))
+
+
 @dataclass
 class TrainedModel:
     """A fitted classifier with everything needed to score raw messages."""
@@ -103,6 +133,7 @@ class TrainedModel:
     width: int
     manual: bool
     calibrator: object = None
+    columns: list[int] | None = None   # features that the model knows; None for all
 
     @property
     def size(self) -> int:
@@ -111,8 +142,16 @@ class TrainedModel:
     def features(self, cleaned: DataFrame, carry: list[str] | None = None) -> DataFrame:
         """Feature table of messages that have a ``clean`` column."""
         carry = carry or []
-        rows = sparse_features(cleaned, self.vocabulary, self.width, self.manual, carry)
-        return as_feature_table(rows, ["msg_id", *carry], self.size)
+        return self.table(sparse_features(cleaned, self.vocabulary, self.width, self.manual, carry), ["msg_id", *carry])
+
+    def table(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """Written feature table of ``ids``/``values`` rows."""
+        return as_feature_table(narrowed(rows, self.columns, self.size), keep,
+                                self.size if self.columns is None else len(self.columns))
+
+    def original(self, at: int) -> int:
+        """Number of a model feature among all features."""
+        return at if self.columns is None else self.columns[at]
 
     def classify(self, features: DataFrame, keep: list[str]) -> DataFrame:
         """``(*keep, predicted_class, confidence, fraud_score)``."""
@@ -151,30 +190,55 @@ def _calibrate(estimator, table: DataFrame, folds: int = 5):
     return LogisticRegression(featuresCol="features", labelCol="label_id").fit(points)
 
 
-def train(
-    df: DataFrame, name: str = "logistic_regression", manual: bool = True,
-    max_features: int = K.TFIDF_MAX_FEATURES, **overrides,
-) -> TrainedModel:
-    """Fit on labelled messages ``(msg_id, message, label)``."""
+class Prepared:
+    """Labelled messages, cleaned, with their vocabulary; feature rows are written once for each kind."""
+
+    def __init__(self, df: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES):
+        # Cleaned once, then read by the vocabulary fit and by the transform.
+        cleaned = staged(
+            clean_messages(df, "message", "clean").select("msg_id", "label", "clean"), "cleaned")
+        self.width = max_features
+        self.vocabulary = staged(
+            tfidf.fit_tfidf(cleaned, text="clean", max_features=max_features), "vocabulary")
+        self.targets = split.with_class_weight(split.encode_labels(cleaned)).withColumn(
+            "label_id", F.col("label_id").cast("double"))
+        self.n_rows = cleaned.count()
+        self._rows: dict[bool, DataFrame] = {}
+
+    def rows(self, manual: bool) -> DataFrame:
+        if manual not in self._rows:
+            self._rows[manual] = staged(sparse_features(
+                self.targets, self.vocabulary, self.width, manual, ["label_id", "weight"]), "feature-rows")
+        return self._rows[manual]
+
+
+def fit(prepared: Prepared, name: str, manual: bool = True, **overrides) -> TrainedModel:
+    """Fit a classifier on prepared messages."""
     key = canonical_name(name)
     manual = manual and key != "naive_bayes"
-    # Cleaned once, then read by the vocabulary fit and by the transform.
-    cleaned = staged(
-        clean_messages(df, "message", "clean").select("msg_id", "label", "clean"), "cleaned")
-    vocabulary = staged(
-        tfidf.fit_tfidf(cleaned, text="clean", max_features=max_features), "vocabulary")
-    targets = split.with_class_weight(split.encode_labels(cleaned)).withColumn(
-        "label_id", F.col("label_id").cast("double"))
-    rows = sparse_features(targets, vocabulary, max_features, manual, ["label_id", "weight"])
-    trained = TrainedModel(key, None, vocabulary, max_features, manual)
-    table = as_feature_table(rows, ["msg_id", "label_id", "weight"], trained.size)
+    trained = TrainedModel(key, None, prepared.vocabulary, prepared.width, manual)
     estimator = make_classifier(key, weighted=key != "naive_bayes", **overrides)
+    rows = prepared.rows(manual)
+    if key == "boosted_trees":
+        trained.columns = filled_columns(rows, estimator.getMinInstancesPerNode())
+    table = sized(trained.table(rows, ["msg_id", "label_id", "weight"]), prepared.n_rows)
+    if key == "boosted_trees":
+        scratch_dir(table.sparkSession)   # checkpoints of the node ids
     trained.model = estimator.fit(table)
     if key == "linear_svc_calibrated":
         trained.calibrator = _calibrate(estimator, table)
     return trained
 
 
+def train(
+    df: DataFrame, name: str = "logistic_regression", manual: bool = True,
+    max_features: int = K.TFIDF_MAX_FEATURES, **overrides,
+) -> TrainedModel:
+    """Fit on labelled messages ``(msg_id, message, label)``."""
+    canonical_name(name)
+    return fit(Prepared(df, max_features), name, manual, **overrides)
+
+
 def predict_messages(trained: TrainedModel, df: DataFrame, text: str = "message") -> DataFrame:
     """Class, confidence, combined level, rule fields and advice per message.
 
@@ -204,7 +268,7 @@ def feature_importance(trained: TrainedModel, top: int = 20) -> DataFrame:
     """Importance per named feature of a tree model."""
     spark = trained.vocabulary.sparkSession
     weights = trained.model.featureImportances
-    rows = [(int(i), float(v)) for i, v in zip(weights.indices, weights.values)]
+    rows = [(trained.original(int(i)), float(v)) for i, v in zip(weights.indices, weights.values)]
     table = spark.createDataFrame(rows, "term_id int, importance double")
     return _named(table, trained).orderBy(F.desc("importance"), "feature").limit(top)
 
@@ -231,13 +295,16 @@ def compare_models(
 ) -> DataFrame:
     """Test metrics of several models on one stratified split."""
     from riskloom.operators.metrics import binary_metrics
-    parts = split.stratified_split(df)
-    result = None
+    parts = staged(split.stratified_split(df), "split")
+    prepared = Prepared(parts.filter(~F.col("is_test")), options.pop("max_features", K.TFIDF_MAX_FEATURES))
+    cleaned = staged(clean_steps(parts.filter("is_test"), "message", "clean").select("msg_id", "label", "clean"), "tested")
+    tested, result = {}, None
     for name in names:
-        trained = train(parts.filter(~F.col("is_test")), name, **options,
-                        **(overrides or {}).get(name, {}))
-        tested = clean_steps(parts.filter("is_test"), "message", "clean")
-        classes = trained.classify(trained.features(tested, ["label"]), ["msg_id", "label"])
+        trained = fit(prepared, name, **options, **(overrides or {}).get(name, {}))
+        if trained.manual not in tested:
+            tested[trained.manual] = staged(sparse_features(
+                cleaned, trained.vocabulary, trained.width, trained.manual, ["label"]), "tested-rows")
+        classes = trained.classify(trained.table(tested[trained.manual], ["msg_id", "label"]), ["msg_id", "label"])
         row = binary_metrics(
             classes, "label", "predicted_class", K.FRAUDULENT).withColumn("model", F.lit(name))
         result = row if result is None else result.unionByName(row)

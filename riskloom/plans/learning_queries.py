@@ -15,9 +15,9 @@ from riskloom.operators import conversations as C
 from riskloom.operators import encoding as E
 from riskloom.plans import tables as T
 from riskloom.plans.scoring_queries import anomaly_scores, cascade_inputs, cleaned_cases
-from riskloom.session import staged
+from riskloom.session import scratch_path, staged
 from riskloom.sources import conversations as talks
-from riskloom.sources import files
+from riskloom.sources import files, state
 from riskloom.streaming import streams
 
 
@@ -163,16 +163,42 @@ def l5(spark, folder):
 
 
 def m4(spark, folder):
-    rows = cleaned_cases(spark, folder)
-    manual = with_manual_features(rows, "clean")
-    table = models.as_feature_table(
-        split.encode_labels(manual).join(F.broadcast(split.class_weights(rows).select("label", "weight")), "label")
-        .select("msg_id", F.col("label_id").cast("double").alias("label_id"), "weight",
-                F.sequence(F.lit(0), F.lit(len(K.MANUAL_FEATURES) - 1)).alias("ids"),
-                F.array(*K.MANUAL_FEATURES).alias("values")),
-        ["msg_id", "label_id", "weight"], len(K.MANUAL_FEATURES))
+    prepared = models.Prepared(T.labelled(spark, folder))
     return _rounded(sweep.search_boosting(
-        table, {"maxIter": [50], "maxDepth": [2, 4], "stepSize": [0.1], "minInstancesPerNode": [5]}))
+        prepared.rows(True), prepared.width + len(K.MANUAL_FEATURES), sweep.boosting_points(9)))
+
+
+def a1_a9(spark, folder):
+    """A table written as delimited files of several kinds, read back, validated and written again."""
+    target = scratch_path(spark, "raw")
+    raw = T.labelled(spark, folder).select(
+        "source", F.when(F.col("label") == K.FRAUDULENT, "Spam").otherwise(" HAM ").alias("Category"),
+        F.col("message").alias("SMS"))
+    kinds = {"comma": ("coalesce(source, '') < 'src2'", ","), "tab": ("coalesce(source, '') >= 'src2'", "\t")}
+    for name, (part, sep) in kinds.items():
+        raw.filter(part).drop("source").write.option("header", True).option("sep", sep).option("quoteAll", True) \
+            .option("escape", '"').option("lineSep", "\n").csv(f"{target}/{name}")
+    tables = [files.load_delimited(spark, f"{target}/{name}/*.csv", sep).withColumn("source", F.lit(name))
+              for name, (_, sep) in kinds.items()]
+    rows = tables[0].unionByName(tables[1])
+    files.validate(rows)
+    written = scratch_path(spark, "processed")
+    files.save_processed(rows, written)
+    return spark.read.parquet(written).select(
+        "source", "label", F.md5("message").alias("message_md5"), F.length("message").alias("n_chars"))
+
+
+def a15(spark, folder):
+    """Scores of a saved and reloaded model beside those of the model itself."""
+    trained = models.train(T.labelled(spark, folder), "logistic_regression")
+    target = scratch_path(spark, "state")
+    state.save_model(trained, target)
+    again = state.load_model(spark, target)
+    rows = [models.predict_messages(m, T.messages(spark, folder)).select(
+        "msg_id", "predicted_class", "confidence", "model_level") for m in (trained, again)]
+    return rows[0].join(rows[1], "msg_id").select(
+        "msg_id", *[rows[0][c].eqNullSafe(rows[1][c]).alias(f"same_{c}")
+                    for c in ("predicted_class", "confidence", "model_level")])
 
 
 def _linear(spark, folder):
@@ -257,7 +283,14 @@ def p3(spark, folder):
     return streams.run_available(streams.rolling_risk(_turn_stream(spark, folder)), "rolling")
 
 
+def l5_all(spark, folder):
+    """All disguised variants of fraudulent messages, whether they lower the score or not."""
+    return robustness.evading(T.labelled(spark, folder), only_successful=False).select(
+        "msg_id", "kind", "label", "original_score", "variant_score")
+
+
 QUERIES = {
+    "a1_a9_delimited_round_trip": a1_a9, "a15_state_round_trip": a15, "l5_disguised_scores": l5_all,
     "a5_label_map": a5, "a6_drop_blank": a6, "a10_json_conversations": a10,
     "a11_text_conversations": a11,
     "g1_label_ids": g1, "g2_stratified_split": g2, "g3_naive_bayes": _trained("naive_bayes"),

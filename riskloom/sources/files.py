@@ -42,6 +42,17 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def load_delimited(spark: SparkSession, paths: str, sep: str) -> DataFrame:
+    """Labelled messages of many files with one header, in a single scan.
+
+    Quoted fields may hold line breaks; a file is one task then, so large tables should
+    come in many files.
+    """
+    rows = spark.read.csv(paths, sep=sep, header=True, multiLine=True, quote='"', escape='"', lineSep="\n",
+                          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    return drop_blank(normalize_labels(normalize_columns(rows)))
+
+
 def _column(df: DataFrame, aliases: list[str]) -> str | None:
     """First alias that names a column; the order of aliases decides."""
     by_name = {c.lower().strip(): c for c in df.columns}

@@ -87,18 +87,21 @@ _STATE = T.StructType([
 
 
 def _roll(key, batches, state: GroupState):
-    """Keep the last few turns of a conversation; the state never grows."""
+    """Keep the last few turns of a conversation; the state never grows.
+
+    The turns of a micro-batch are taken in their order, however they are cut into Arrow
+    batches; what is held of them meanwhile are two numbers a turn.
+    """
     turns, scores = state.get if state.exists else ([], [])
-    held = list(zip(turns, scores))
-    for batch in batches:
-        out = []
-        for turn, score in batch[["turn", "risk_score"]].sort_values("turn").itertuples(index=False):
-            held = sorted([*held, (int(turn), int(score))])[-LAST_TURNS:]
-            values = [s for _, s in held]
-            out.append((key[0], int(turn), len(values), round(sum(values) / len(values), 4),
-                        max(values), values[-1] - values[0]))
-        yield pd.DataFrame(out, columns=[f.name for f in _ROLLING])
+    held, out = list(zip(turns, scores)), []
+    fresh = pd.concat([batch[["turn", "risk_score"]] for batch in batches])
+    for turn, score in fresh.sort_values(["turn", "risk_score"]).itertuples(index=False):
+        held = sorted([*held, (int(turn), int(score))])[-LAST_TURNS:]
+        values = [s for _, s in held]
+        out.append((key[0], int(turn), len(values), round(sum(values) / len(values), 4),
+                    max(values), values[-1] - values[0]))
     state.update(([t for t, _ in held], [s for _, s in held]))
+    yield pd.DataFrame(out, columns=[f.name for f in _ROLLING])
 
 
 def rolling_risk(scored: DataFrame) -> DataFrame:
