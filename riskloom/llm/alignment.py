@@ -11,9 +11,10 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, pairwise
+from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import ship_package
 from riskloom.session import staged
 
-CHUNK_CHARS = 16 << 20   # characters a chunk holds; only a single longer text exceeds it
-SLICE_CHARS = 1 << 20    # characters encoded at a time
+CHUNK_CHARS = 4 << 20   # characters a chunk holds; only a single longer text exceeds it
+SLICE_ROWS = 512         # rows whose texts are Python strings at a time
 _B = 1 << 32
-_KNOWN_SLICES, _KNOWN_LENGTH = 200_000, 12
+_NUMBERS = list(range(1, 1 << 12))   # made once, as dictionaries hold whole numbers as objects
+_NO_IDS = np.empty(0, np.int64)
 # Fixed value: the split pattern of the byte-level vocabulary.
 _SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -61,50 +63,52 @@ class Pair:
         self.b_bytes = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
-        self.a_sizes, self.b_sizes = ([len(t) for t in side] for side in (self.a_bytes, self.b_bytes))
-        self.known: dict[tuple, tuple[str, list[int]]] = {}   # slices expanded before, a bounded table
-        self.digits = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
+        n_ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.digits = np.zeros((n_ids, len(str(n_ids)) + 1), np.uint8)
+        for i in range(n_ids):
+            self.digits[i, : len(str(i))] = list(str(i).encode())
+        self.n_digits = (self.digits > 0).sum(1)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides; none where a side's bytes are not space and text."""
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            wanted = b" " + text.encode()
-            if text and wanted == b"".join(map(self.b_bytes.__getitem__, b)):
-                a = self.a.encode_ordinary(" " + text)
-                if wanted == b"".join(map(self.a_bytes.__getitem__, a)):
-                    yield a, b
-                    continue
-            yield [], []
-
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, np.ndarray]:
+        spaced = " " + text
+        b = self.b.encode(text) if text else []
+        if not b or b"".join(map(self.b_bytes.__getitem__, b)) != spaced.encode():
+            return _NO_IDS, _NO_IDS
+        # A's merges keep every byte
+        return self.a.encode_to_numpy(spaced, disallowed_special=()).astype(np.int64), np.array(b, np.int64)
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, np.ndarray]:
         """Groups as text, their number, and every linked id pair as one number."""
-        a_sizes, b_sizes = list(map(self.a_sizes.__getitem__, a)), list(map(self.b_sizes.__getitem__, b))
-        a_cuts, b_cuts = groups_of(a_sizes, b_sizes)
-        if not a_cuts:
-            return "", 0, np.empty(0, np.int64)
-        a_from, b_from = [0, *a_cuts[:-1]], [0, *b_cuts[:-1]]
-        heads = list(map(a.__getitem__, a_from)), list(map(b.__getitem__, b_from))
-        digits = self.digits
-        # most slices hold one token of each side, whose link needs no expanding
-        parts = [f"{digits[x]}|{digits[y]}" for x, y in zip(*heads, strict=True)]
-        a_ends, b_ends = np.array(a_cuts), np.array(b_cuts)
-        single = (np.diff(a_ends, prepend=0) == 1) & (np.diff(b_ends, prepend=0) == 1)
-        links: list[int] = []
-        for g in np.flatnonzero(~single).tolist():
-            i, k, j, m = a_from[g], a_cuts[g], b_from[g], b_cuts[g]
-            key = (*a[i:k], -1, *b[j:m])
-            found = self.known.get(key)
-            if found is None:
-                found = (f"{','.join(map(digits.__getitem__, a[i:k]))}|{','.join(map(digits.__getitem__, b[j:m]))}",
-                         links_of(a[i:k], b[j:m], a_sizes[i:k], b_sizes[j:m]))
-                if len(key) <= _KNOWN_LENGTH:
-                    if len(self.known) >= _KNOWN_SLICES:
-                        self.known.clear()
-                    self.known[key] = found
-            parts[g] = found[0]
-            links += found[1]
-        left, right = (np.array(x, np.int64)[single] for x in heads)
-        return ";".join(parts), len(parts), np.concatenate([left << 32 | right, np.array(links, np.int64)])
+        if not len(a):
+            return b"", 0, _NO_IDS
+        a_sizes, b_sizes = self.a_sizes[a], self.b_sizes[b]
+        a_cuts, b_cuts = groups_of(np.cumsum(a_sizes).tolist(), np.cumsum(b_sizes).tolist())
+        n_a, n_b = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+        a_from, b_from = a_cuts - n_a, b_cuts - n_b
+        # in slices with one token on a side, that one is linked with all of the other side
+        plain = (n_a == 1) | (n_b == 1)
+        n = np.maximum(n_a, n_b)[plain]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        left = a[np.repeat(a_from[plain], n) + step * np.repeat(n_a[plain] > 1, n)]
+        right = b[np.repeat(b_from[plain], n) + step * np.repeat(n_b[plain] > 1, n)]
+        links = [left << 32 | right]
+        for i, k, j, m in zip(*(x[~plain].tolist() for x in (a_from, a_cuts, b_from, b_cuts)), strict=True):
+            links.append(links_of(a[i:k].tolist(), b[j:m].tolist(), a_sizes[i:k].tolist(), b_sizes[j:m].tolist()))
+        return self.written(a, b, a_cuts, b_cuts, n_a, n_b), len(a_cuts), np.concatenate(links)
+
+    def written(self, a, b, a_cuts, b_cuts, n_a, n_b) -> bytes:
+        """``a1,a2|b1;a3|b2``: both sides' ids, group by group."""
+        ids = np.empty(len(a) + len(b), np.int64)
+        marks = np.full(len(ids), ord(","), np.uint8)
+        ids[np.arange(len(a)) + np.repeat(b_cuts - n_b, n_a)] = a
+        ids[np.arange(len(b)) + np.repeat(a_cuts, n_b)] = b
+        marks[a_cuts + b_cuts - n_b - 1] = ord("|")
+        marks[a_cuts + b_cuts - 1] = ord(";")
+        cells = self.digits[ids]
+        cells[np.arange(len(ids)), self.n_digits[ids]] = marks
+        return cells[cells > 0].tobytes()[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -112,20 +116,17 @@ def tokenizers_of(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
-def groups_of(a_sizes: list[int], b_sizes: list[int]) -> tuple[list[int], list[int]]:
-    """End indices of the groups in both id lists."""
-    a_at = dict(zip(accumulate(a_sizes), range(1, len(a_sizes) + 1), strict=True))
-    b_at = dict(zip(accumulate(b_sizes), range(1, len(b_sizes) + 1), strict=True))
+def groups_of(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """End indices, in both id lists, of the groups between the ends that both sides have."""
+    while len(_NUMBERS) < max(len(a_ends), len(b_ends)):
+        _NUMBERS.extend(range(len(_NUMBERS) + 1, 2 * len(_NUMBERS) + 1))
+    a_at, b_at = dict(zip(a_ends, _NUMBERS)), dict(zip(b_ends, _NUMBERS))  # noqa: B905
     both = sorted(a_at.keys() & b_at.keys())
-    return list(map(a_at.__getitem__, both)), list(map(b_at.__getitem__, both))
+    return tuple(np.fromiter(map(at.__getitem__, both), np.int64, len(both)) for at in (a_at, b_at))
 
 
 def links_of(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[int]:
     """Pairs of tokens of one group whose byte ranges overlap, each as one number."""
-    if len(a_ids) == 1:
-        return [a_ids[0] << 32 | b for b in b_ids]
-    if len(b_ids) == 1:
-        return [a << 32 | b_ids[0] for a in a_ids]
     found, i, j, a_end, b_end = [], 0, 0, a_sizes[0], b_sizes[0]
     while True:
         found.append(a_ids[i] << 32 | b_ids[j])
@@ -143,39 +144,35 @@ def links_of(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: li
 class _Chunk:
     """Documents until the chunk is full; then one row with its distinct pairs."""
 
-    NAMES = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "pairs", "pair_n", "first", "own", "own_n"]
+    NAMES = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "pairs", "pair_n", "first", "links"]
 
     def __init__(self, with_groups: bool):
         self.with_groups, self.size, self.rows, self.links = with_groups, 0, [], []
 
     def add(self, doc_id, a, b, coder: Pair, size: int) -> None:
         text, n_groups, links = coder.align(a, b)
-        self.rows.append((doc_id, len(a), len(b), n_groups, hashlib.sha256(text.encode()).hexdigest() if text else "",
-                          text if self.with_groups else None))
+        self.rows.append((doc_id, len(a), len(b), n_groups, hashlib.sha256(text).hexdigest() if text else "",
+                          text.decode() if self.with_groups else None))
         self.links.append(links)
         self.size += size
 
     def row(self, name: str) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in self.links])
-        flat = np.concatenate(self.links) if self.links else np.empty(0, np.int64)
-        pairs, place, total = np.unique(flat, return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        own, own_n = np.unique(doc * max(len(pairs), 1) + place, return_counts=True)
-        first = np.searchsorted(own, np.arange(len(sizes) + 1) * max(len(pairs), 1))
+        flat = np.concatenate(self.links)
+        place, pairs = pd.factorize(flat)
+        first = np.cumsum([0, *map(len, self.links)])
         lists = [list(x) for x in zip(*self.rows, strict=True)]
         return pa.RecordBatch.from_arrays([
             pa.array([name]), pa.array([lists[0]], pa.list_(pa.int64())),
             *(pa.array([x], pa.list_(pa.int64())) for x in lists[1:4]),
             *(pa.array([x], pa.list_(pa.string())) for x in lists[4:6]),
-            pa.array([pairs], pa.list_(pa.int64())), pa.array([total], pa.list_(pa.int64())),
-            pa.array([first.astype(np.int32).tobytes()], pa.binary()),
-            pa.array([(own % max(len(pairs), 1)).astype(np.int32).tobytes()], pa.binary()),
-            pa.array([own_n.astype(np.int32).tobytes()], pa.binary())], self.NAMES)
+            pa.array([pairs], pa.list_(pa.int64())),
+            pa.array([np.bincount(place, minlength=len(pairs))], pa.list_(pa.int64())),
+            pa.array([first.tobytes()], pa.binary()), pa.array([place.astype(np.int32).tobytes()], pa.binary())], self.NAMES)
 
 
 _CHUNKS = ("chunk string, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
            "groups_sha256 array<string>, groups array<string>, pairs array<bigint>, pair_n array<bigint>, "
-           "first binary, own binary, own_n binary")
+           "first binary, links binary")
 
 
 def _chunks(byte_level: str, pieces: str, with_groups: bool, limit: int) -> Callable:
@@ -183,21 +180,13 @@ def _chunks(byte_level: str, pieces: str, with_groups: bool, limit: int) -> Call
         part, number, chunk = TaskContext.get().partitionId(), 0, _Chunk(with_groups)
         coder = tokenizers_of(byte_level, pieces)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= SLICE_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                slice_ = texts[start:end]
-                for doc_id, text, (a, b) in zip(ids[start:end], slice_, coder.encode(slice_), strict=True):
-                    chunk.add(doc_id, a, b, coder, 100 + len(text))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                    chunk.add(doc_id, *coder.encode(text or ""), coder, 100 + len(text or ""))
                     if chunk.size >= limit:
                         yield chunk.row(f"{part}-{number}")
                         number, chunk = number + 1, _Chunk(with_groups)
-                start = end
         if chunk.rows:
             yield chunk.row(f"{part}-{number}")
     return work
@@ -209,16 +198,13 @@ def _rated(_key, chunk: pa.Table, pairs: pa.Table) -> pa.Table:
     order = np.argsort(pairs.column("at").to_numpy())
     count = pairs.column("n").to_numpy()[order]
     best = pairs.column("is_best").to_numpy(zero_copy_only=False)[order]
-    first, own, times = (np.frombuffer(row[c], np.int32) for c in ("first", "own", "own_n"))
-    docs = len(row["doc_id"])
-    doc = np.repeat(np.arange(docs), np.diff(first))
+    first, own = np.frombuffer(row["first"], np.int64), np.frombuffer(row["links"], np.int32)
 
     def summed(x):
-        out = np.zeros(docs, np.int64)
-        np.add.at(out, doc, x.astype(np.int64))
-        return out
+        total = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+        return total[first[1:]] - total[first[:-1]]
 
-    links = [summed(times), summed(times * best[own]), summed(times * count[own])] if len(own) else [summed(times)] * 3
+    links = [np.diff(first), summed(best[own]), summed(count[own])]
     return pa.table({c: pa.array(row[c], pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups")}
                     | dict(zip(("n_links", "n_best", "count_sum"), map(pa.array, links), strict=True))
                     | {c: pa.array(row[c], pa.string()) for c in ("groups_sha256", "groups")})
