@@ -19,6 +19,8 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import ship_package
 from riskloom.session import staged
 
-ORDER = 5                    # context bytes, 2 to 6
+ORDER = 4                    # context bytes, 2 to 6
 END = 255
-CHUNK_BYTES = 8 << 20        # text bytes a chunk holds; only a single longer text exceeds it
+CHUNK_BYTES = 32 << 20       # text bytes a chunk holds; only a single longer text exceeds it
 SLICE_BYTES = 2 << 20        # bytes whose grams are in memory at a time
+SLICE_ROWS = 512             # rows whose texts are Python strings at a time
 BUCKET_GRAMS = 250_000
 SMOOTH = 0.1                 # of the word counts behind base_score
 
@@ -91,62 +94,71 @@ class Places:
         return at
 
 
+def _counted(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of some texts with their counts, slice by slice."""
+    parts, waiting, size = [], [], 0
+    for text in texts:
+        for own in slices_of(text, order):
+            waiting.append(own)
+            size += len(own)
+            if size >= SLICE_BYTES:
+                parts.append(np.unique(np.concatenate(waiting), return_counts=True))
+                waiting, size = [], 0
+    parts.append(np.unique(np.concatenate([np.empty(0, np.int64), *waiting]), return_counts=True))
+    return _merged(parts)
+
+
 class _Chunk:
     """Texts until the chunk is full; then one row with its distinct grams and words."""
 
     NAMES = ["chunk", "doc_id", "held_out", "sizes", "content", "grams", "gram_n", "words", "word_n"]
 
-    def __init__(self, held: bool, order: int):
-        self.held, self.order, self.size, self.ids, self.texts = held, order, 0, [], []
+    def __init__(self, order: int):
+        self.order, self.size, self.ids, self.held, self.texts = order, 0, [], [], []
 
-    def add(self, doc_id, text: bytes) -> None:
+    def add(self, doc_id, held: bool, text: bytes) -> None:
         self.ids.append(doc_id)
+        self.held.append(held)
         self.texts.append(text)
         self.size += len(text) + 16
 
-    def row(self, name: str) -> pa.RecordBatch:
-        words, parts, waiting, size = Counter(), [], [], 0
-        for text in self.texts:
+    def row(self, name: int) -> pa.RecordBatch:
+        learned = [t for t, h in zip(self.texts, self.held, strict=True) if not h]
+        asked = [t for t, h in zip(self.texts, self.held, strict=True) if h]
+        words = Counter()
+        for text in learned:
             words.update(text.split())
-            for own in slices_of(text, self.order):
-                waiting.append(own)
-                size += len(own)
-                if size >= SLICE_BYTES:
-                    parts.append(np.unique(np.concatenate(waiting), return_counts=True))
-                    waiting, size = [], 0
-        if waiting:
-            parts.append(np.unique(np.concatenate(waiting), return_counts=True))
-        grams, gram_n = _merged(parts)
-        word_n = np.fromiter(words.values(), np.int64, len(words))
-        if self.held:   # asked for, but not learned
-            gram_n, word_n = np.zeros_like(gram_n), np.zeros_like(word_n)
+        for text in asked:   # looked up, but not learned
+            words.update(dict.fromkeys(text.split(), 0))
+        grams, gram_n = _counted(learned, self.order)
+        others, _ = _counted(asked, self.order)
+        grams, gram_n = _merged([(grams, gram_n), (others, np.zeros_like(others))])
         lists = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([
-            pa.array([name]), pa.array([self.ids], lists), pa.array([self.held]),
-            pa.array([[len(t) for t in self.texts]], lists), pa.array([b"".join(self.texts)], pa.binary()),
+            pa.array([name], pa.int64()), pa.array([self.ids], lists), pa.array([self.held], pa.list_(pa.bool_())),
+            pa.array([[len(t) for t in self.texts]], lists), pa.array([zstandard.compress(b"".join(self.texts))], pa.binary()),
             pa.array([grams], lists), pa.array([gram_n], lists),
-            pa.array([list(words)], pa.list_(pa.binary())), pa.array([word_n], lists)], self.NAMES)
+            pa.array([list(words)], pa.list_(pa.binary())), pa.array([list(words.values())], lists)], self.NAMES)
 
 
-_CHUNKS = ("chunk string, doc_id array<bigint>, held_out boolean, sizes array<bigint>, content binary, "
+_CHUNKS = ("chunk bigint, doc_id array<bigint>, held_out array<boolean>, sizes array<bigint>, content binary, "
            "grams array<bigint>, gram_n array<bigint>, words array<binary>, word_n array<bigint>")
 
 
 def _chunks(order: int, limit: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, open_ = TaskContext.get().partitionId(), 0, {h: _Chunk(h, order) for h in (False, True)}
+        name, chunk = TaskContext.get().partitionId() << 32, _Chunk(order)
         for batch in batches:
-            for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")),
-                                          strict=True):
-                chunk = open_[held]
-                chunk.add(doc_id, (text or "").encode().translate(_LOWER))
-                if chunk.size >= limit:
-                    yield chunk.row(f"{part}-{number}")
-                    number, open_[held] = number + 1, _Chunk(held, order)
-        for chunk in open_.values():
-            if chunk.ids:
-                yield chunk.row(f"{part}-{number}")
-                number += 1
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                for doc_id, held, text in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "held_out", "text")),
+                                              strict=True):
+                    chunk.add(doc_id, held, (text or "").encode().translate(_LOWER))
+                    if chunk.size >= limit:
+                        yield chunk.row(name)
+                        name, chunk = name + 1, _Chunk(order)
+        if chunk.ids:
+            yield chunk.row(name)
     return work
 
 
@@ -223,32 +235,32 @@ def trie_costs(counts: DataFrame, order: int = ORDER, grams_a_bucket: int = BUCK
 
 def _scored(order: int, train_tokens: int, train_words: int, ends: int) -> Callable:
     def work(_key, chunk: pa.Table, found: pa.Table) -> pa.Table:
-        row = {c: chunk.column(c)[0].as_py() for c in ("doc_id", "held_out", "sizes", "content", "words")}
-        of_gram = found.column("is_gram").to_numpy(zero_copy_only=False)
-        at, value = found.column("at").to_numpy(), found.column("value").to_numpy()
-        grams = chunk.column("grams").combine_chunks().flatten().to_numpy()
-        cost = np.empty(len(grams))
-        cost[at[of_gram]] = value[of_gram]
+        row = {c: chunk.column(c)[0].as_py() for c in ("doc_id", "held_out", "sizes", "content")}
+        of_gram = found.filter(pc.is_valid(found.column("gram")))
+        grams, cost = of_gram.column("gram").to_numpy(), of_gram.column("value").to_numpy()
+        order_ = np.argsort(grams)
+        grams, cost = grams[order_], cost[order_]
         places = Places(grams, cost)
-        counts = np.zeros(len(row["words"]), np.int64)
-        counts[at[~of_gram]] = value[~of_gram].astype(np.int64)
+        of_word = found.filter(pc.is_null(found.column("gram")))
+        counts = of_word.column("value").to_numpy()
+        place = dict(zip(of_word.column("word").to_pylist(), range(len(counts)), strict=True))
         below = np.log10(train_tokens + SMOOTH * (train_words + 1))
-        known = dict(zip(row["words"], zip(np.log10(counts + SMOOTH) - below, counts > 0, strict=True), strict=True))
-        known_log = {w: x for w, (x, _) in known.items()}
-        known_flag = {w: int(x) for w, (_, x) in known.items()}
+        logs, known = np.log10(counts + SMOOTH) - below, counts > 0
+        content = zstandard.decompress(row["content"])
         end_log = float(np.log10(ends + SMOOTH) - below)
         base, score, n_tokens, n_known, start = [], [], [], [], 0
         for size in row["sizes"]:
-            text = row["content"][start: start + size]
+            text = content[start: start + size]
             start += size
             score.append(float(sum(cost[places(own)].sum() for own in slices_of(text, order))))
             words = text.split()
-            base.append(float(sum(map(known_log.__getitem__, words))) + end_log)
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            base.append(float(logs[at].sum()) + end_log)
             n_tokens.append(len(words) + 1)
-            n_known.append(sum(map(known_flag.__getitem__, words)) + (ends > 0))
+            n_known.append(int(known[at].sum()) + (ends > 0))
         n = len(row["sizes"])
         return pa.table({
-            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array([row["held_out"]] * n),
+            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()),
             "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([train_tokens] * n, pa.int64()),
             "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
@@ -277,14 +289,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, fold: int = 10, limit:
             F.col(f"_i.{items}").alias(name)).agg(F.sum(f"_i.{counts}").alias("n")), f"model-{items}")
 
     grams, words = summed("grams", "gram_n", "gram"), summed("words", "word_n", "word")
-    ends = chunks.filter(~F.col("held_out")).agg(F.coalesce(F.sum(F.size("doc_id")), F.lit(0))).first()[0]
+    learned = F.size(F.filter("held_out", lambda h: ~h))
+    ends = chunks.agg(F.coalesce(F.sum(learned), F.lit(0))).first()[0]
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     costs = staged(trie_costs(grams, order), "model-costs")
-    found = chunks.select("chunk", F.posexplode("grams").alias("at", "gram")).join(costs, "gram") \
-        .select(F.col("chunk").alias("of_chunk"), F.lit(True).alias("is_gram"), "at", "value").unionByName(
-            chunks.select("chunk", F.posexplode("words").alias("at", "word")).join(words, "word").select(
-                F.col("chunk").alias("of_chunk"), F.lit(False).alias("is_gram"), "at", F.col("n").cast("double").alias("value")))
-    return chunks.select("chunk", "doc_id", "held_out", "sizes", "content", "grams", "words").groupBy("chunk") \
+    of_chunk, value = F.col("chunk").alias("of_chunk"), F.col("n").cast("double").alias("value")
+    found = chunks.select(of_chunk, F.explode("grams").alias("gram")).join(costs, "gram") \
+        .select("of_chunk", "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
+            chunks.select(of_chunk, F.explode("words").alias("word")).join(words, "word").select(
+                "of_chunk", F.lit(None).cast("bigint").alias("gram"), "word", value))
+    return chunks.select("chunk", "doc_id", "held_out", "sizes", "content").groupBy("chunk") \
         .cogroup(found.groupBy("of_chunk")).applyInArrow(
             _scored(order, n_words + ends, kinds + (ends > 0), ends),
             "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
