@@ -132,7 +132,7 @@ SQL = {
       {_WINDOWS.format(width="10 minutes")}""",
     "p3_rolling_risk": f"""WITH docs AS (SELECT row_number() OVER () AS msg_id, conv_id, CAST(turn AS INTEGER) AS turn, text AS t FROM conversations),
       {X.scored_cte('docs')} SELECT conv_id, turn, CAST(count(*) OVER w AS INTEGER) AS n_turns, round(avg(risk_score) OVER w, 4) AS mean_risk,
-      max(risk_score) OVER w AS max_risk, risk_score - first_value(risk_score) OVER w AS rise FROM docs JOIN scored USING (msg_id)
+      max(risk_score) OVER w AS max_risk, risk_score - first_value(risk_score) OVER w AS rise FROM scored
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""",
     "p2_event_alerts": f"""WITH docs AS (SELECT row_number() OVER () AS msg_id, concat_ws(' ', event_type, props) AS t, ts FROM events),
       {X.scored_cte('docs')} {_WINDOWS.format(width="1 hour")}""",
