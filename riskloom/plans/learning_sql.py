@@ -1,6 +1,7 @@
 """SQL twins of the learning, profile and stream queries."""
 
 from riskloom import constants as K
+from riskloom.operators import robustness
 from riskloom.plans import sql_text as X
 from riskloom.plans.message_sql import _features_sql
 from riskloom.plans.scoring_sql import _INPUTS
@@ -46,6 +47,39 @@ changed AS (SELECT *, CASE
 variants AS (SELECT msg_id, CAST(variant AS INTEGER) AS variant,
   ['swap_chars', 'delete_word', 'insert_filler', 'change_case', 'synonym_swap'][kd + 1] AS kind, {_VARIANT_FIX} AS message FROM changed)"""
 
+
+
+def _disguises(source: str) -> str:
+    """CTE disguised (msg_id, kind, message) over texts (column t) of ``source``."""
+    signals = list(dict.fromkeys(K.URGENCY_WORDS + K.CREDENTIAL_WORDS))
+    present = lambda least: (
+        f"list_filter({X.array([w for w in signals if len(w) >= least])}, lambda x: contains(lower(t), x))")
+    pick = lambda values, number: f"{X.array(values)}[CAST({number} % {len(values)} AS INTEGER) + 1]"
+    steps, last = [], "marked"
+    for k, (word, options) in enumerate(K.URGENCY_SYNONYMS.items()):
+        steps.append(f"syn{k} AS (SELECT * EXCLUDE (s), {_first('s', X.q(word), pick(options, 'r'))} AS s FROM {last})")
+        last = f"syn{k}"
+    typo = "CASE look " + " ".join(
+        f"WHEN {X.q(w)} THEN {pick(robustness._typos(w), '(r // 13)')}" for w in signals if len(w) >= 4) + " END"
+    return f"""marked AS (SELECT msg_id, t, t AS s, r, six[CAST(r % greatest(len(six), 1) AS INTEGER) + 1] AS target,
+  four[CAST(r % greatest(len(four), 1) AS INTEGER) + 1] AS look FROM (
+  SELECT msg_id, t, (msg_id * 7919 + 42) % 2147483647 AS r, {present(6)} AS six, {present(4)} AS four FROM {source})),
+{', '.join(steps)},
+altered AS (SELECT *, substring(target, 1, CAST((r // 13) % (length(target) - 3) + 2 AS INTEGER)) || '-'
+  || substring(target, CAST((r // 13) % (length(target) - 3) + 3 AS INTEGER)) AS broken, {typo} AS typo FROM {last}),
+disguised AS (
+  SELECT msg_id, 'dilution' AS kind, {pick(K.GREETINGS, 'r')} || t || {pick(K.CLOSINGS, '(r // 5)')} AS message FROM altered
+  UNION ALL SELECT msg_id, 'synonyms', s FROM altered
+  UNION ALL SELECT msg_id, 'negation', {pick(K.NEGATION_PREFIXES, 'r')} || t FROM altered
+  UNION ALL SELECT msg_id, 'hyphen', CASE WHEN target IS NOT NULL THEN {_first('t', 'target', 'broken')} ELSE t END FROM altered
+  UNION ALL SELECT msg_id, 'lookalike', CASE WHEN look IS NOT NULL THEN {_first('t', 'look', 'typo')} ELSE t END FROM altered)"""
+
+
+_EVADING = f"""{X.LABELLED}, fraud AS (SELECT * FROM labelled WHERE label = 'fraudulent'), {_disguises('fraud')},
+vs AS (SELECT msg_id, kind, message AS t FROM disguised), {X.scored_cte('vs', 'sv')}, {X.scored_cte('fraud', 'so')},
+both_scores AS (SELECT sv.msg_id, sv.kind, 'fraudulent' AS label, so.risk_score AS original_score, sv.risk_score AS variant_score
+  FROM sv JOIN so ON sv.msg_id = so.msg_id)"""
+
 _WINDOWS = """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, strftime(w + INTERVAL '{width}', '%Y-%m-%d %H:%M:%S') AS "end",
   count(*) AS n_messages, CAST(sum(CAST(risk_level <> 'low' AS INTEGER)) AS BIGINT) AS n_alerts, max(risk_score) AS max_score
   FROM (SELECT time_bucket(INTERVAL '{width}', ts, TIMESTAMP '1970-01-01') AS w, risk_level, risk_score FROM scored) GROUP BY w"""
@@ -102,6 +136,9 @@ SQL = {
       CASE WHEN stab >= 0.85 AND fr >= 0.80 THEN {X.q(K.STABILITY_TEXT['fraud'])} WHEN stab >= 0.85 AND fr < 0.30 THEN {X.q(K.STABILITY_TEXT['legit'])}
       WHEN stab >= 0.70 THEN {X.q(K.STABILITY_TEXT['stable'])} WHEN stab >= 0.50 THEN {X.q(K.STABILITY_TEXT['moderate'])}
       ELSE {X.q(K.STABILITY_TEXT['unstable'])} END AS verdict FROM fin JOIN so USING (msg_id)""",
+    "l4_disguises": f"WITH {X.DOCS}, {_disguises('docs')} SELECT * FROM disguised",
+    "l5_evading_variants": f"WITH {_EVADING} SELECT * FROM both_scores WHERE variant_score < original_score",
+    "l5_disguised_scores": f"WITH {_EVADING} SELECT * FROM both_scores",
     "n1_contributions": None, "n2_global_summary": None,
     "o1_class_shares": f"""WITH {_LABELS} SELECT label, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lab), 2) AS percent
       FROM lab GROUP BY label""",
