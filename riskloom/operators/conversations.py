@@ -285,6 +285,7 @@ def merge_spans(spans: DataFrame, overlap_ratio: float | None = None) -> DataFra
     kept one by ``overlap_ratio`` of the shorter is absorbed by the first such
     span, and replaces it when its score is higher.  Only spans that share
     messages can affect each other, so every island is scanned on its own, in order,
+    by scores of six decimals, so that equal ones tie whatever order they were summed in,
     holding no more than the spans that reach the current turn.
     """
     ratio = K.CONVERSATION_DEFAULTS["overlap_ratio"] if overlap_ratio is None else overlap_ratio
@@ -293,7 +294,7 @@ def merge_spans(spans: DataFrame, overlap_ratio: float | None = None) -> DataFra
     keys = ["conv_id", "pattern_type"]
     ordered = _islands(spans, keys).select(
         *keys, "island", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"),
-        F.col("score").cast("double").alias("score")).repartition(*keys, "island") \
+        F.round(F.col("score").cast("double"), 6).alias("score")).repartition(*keys, "island") \
         .sortWithinPartitions(*keys, "island", "start_idx", F.desc("score"), "end_idx")
     kind = spans.schema["conv_id"].dataType.simpleString()
     return ordered.mapInArrow(_scan(ratio), f"conv_id {kind}, pattern_type string, start_idx int, end_idx int, rule_score double")

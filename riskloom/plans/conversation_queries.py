@@ -92,9 +92,9 @@ def k15(spark, folder):
 
 
 def conversation_report(spark, folder):
-    """Flagship conversation query at the usual settings, rules only."""
-    turns = T.turns(spark, folder)
-    return C.summarize(turns, C.find_patterns(C.enrich(turns)))
+    """Flagship conversation query at the usual settings, with the stand-in class, without a model."""
+    turns = enriched(spark, folder)
+    return C.summarize(turns, C.find_patterns(turns))
 
 
 def k16(spark, folder):
@@ -134,7 +134,7 @@ def k23(spark, folder):
 
 
 def a13(spark, folder):
-    rows = staged(C.enrich(T.turns(spark, folder)), "turns")
+    rows = staged(enriched(spark, folder), "turns")
     spans = staged(C.find_patterns(rows, config=LOW), "spans")
     pages = reports.report_pages(rows, spans)
     return pages.select(

@@ -2,6 +2,7 @@
 
 from riskloom import constants as K
 from riskloom.plans import sql_text as X
+from riskloom.sources.reports import PAGE
 
 _TURNS = "turns AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, role AS sender, text AS t FROM conversations)"
 _SCORED = f"{_TURNS}, {X.scored_cte('turns')}"
@@ -85,8 +86,10 @@ def _cands(threshold: float) -> str:
 
 
 # The fold, one candidate per recursion step.
-_MERGED = f"""{_PATTERNS},
-cands AS (SELECT conv_id, pattern_type, start_idx, end_idx, round(score, 6) AS score FROM pats WHERE score >= 0.10),
+def _merged(threshold: float, score: str) -> str:
+    """CTEs merged (rules only) and judged (after the stand-in reviewer)."""
+    return f"""{_PATTERNS},
+cands AS (SELECT conv_id, pattern_type, start_idx, end_idx, {score} AS score FROM pats WHERE score >= {threshold}),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pattern_type
   ORDER BY start_idx, score DESC, end_idx) AS rn FROM cands),
 fold AS (
@@ -109,6 +112,9 @@ judged AS (SELECT *, CASE WHEN start_idx % 2 = 0 THEN round(
     wgt * vc + (1 - wgt) * rule_score, 3) ELSE rule_score END AS confidence FROM (
   SELECT *, CASE WHEN vc >= 0.70 THEN 0.60::DOUBLE ELSE 0.40::DOUBLE END AS wgt FROM (
     SELECT *, 0.5::DOUBLE + end_idx * 0.05::DOUBLE AS vc FROM merged)))"""
+
+
+_MERGED = _merged(0.10, "round(score, 6)")
 _LEVEL = """CASE WHEN {0} >= 0.80 THEN 'critical' WHEN {0} >= 0.60 THEN 'high'
   WHEN {0} >= 0.35 THEN 'medium' ELSE 'low' END"""
 
@@ -194,6 +200,21 @@ SQL = {
       SELECT conv_id, n AS total_messages, coalesce(pf, 0) AS patterns_found,
       coalesce(sc, 0.0::DOUBLE) AS overall_score, {_LEVEL.format('coalesce(sc, 0)')} AS overall_risk
       FROM lens LEFT JOIN best USING (conv_id)""",
+    "k15_conversation_report": f"""WITH RECURSIVE {_merged(0.40, "round(score, 6)")},
+      best AS (SELECT conv_id, count(*) AS pf, max(rule_score) AS sc FROM merged GROUP BY conv_id)
+      SELECT conv_id, n AS total_messages, coalesce(pf, 0) AS patterns_found,
+      coalesce(sc, 0.0::DOUBLE) AS overall_score, {_LEVEL.format('coalesce(sc, 0)')} AS overall_risk
+      FROM lens LEFT JOIN best USING (conv_id)""",
+    "a13_conversation_report": f"""WITH RECURSIVE {_merged(0.10, "round(score, 6)")},
+      best AS (SELECT conv_id, count(*) AS pf, max(rule_score) AS sc FROM merged GROUP BY conv_id),
+      said AS (SELECT conv_id, CAST(floor(turn / {PAGE}) AS BIGINT) AS page, CAST(count(*) AS INTEGER) AS n_messages,
+        string_agg(substring(text, 1, {K.REPORT_TEXT_CHARS}), '|' ORDER BY turn) AS texts FROM conversations GROUP BY ALL),
+      found AS (SELECT conv_id, CAST(floor(start_idx / {PAGE}) AS BIGINT) AS page, CAST(count(*) AS INTEGER) AS n_matches
+        FROM merged GROUP BY ALL)
+      SELECT conv_id, page, n AS total_messages, {_LEVEL.format('coalesce(sc, 0)')} AS overall_risk,
+      round(coalesce(sc, 0.0::DOUBLE), 3) AS overall_score, coalesce(pf, 0) AS patterns_found,
+      coalesce(n_matches, 0) AS n_matches, n_messages, texts
+      FROM said JOIN lens USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN found USING (conv_id, page)""",
     "k16_turn_encoding": f"WITH {_ENCODED} SELECT * FROM enc",
     "k17_padded_encoding": f"""WITH {_ENCODED} SELECT conv_id, 10 AS length,
       CAST(10 - count(*) AS INTEGER) AS n_padding,
