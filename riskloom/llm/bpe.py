@@ -194,7 +194,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
 
 def decode_ids(tokens: DataFrame, path: str) -> DataFrame:
-    """Texts (doc_id, text) of rows (doc_id, ids); null ids give the empty text."""
+    """Texts (doc_id, text) of rows (doc_id, ids), one for each row.
+
+    Null or no ids give the empty text; null doc_ids and repeated rows stay; other columns
+    are ignored. An empty table gives an empty result.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = vocabulary(path)

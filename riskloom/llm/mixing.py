@@ -107,7 +107,11 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def take_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: every document as often as it is taken, all columns."""
+    """The mix itself: every document as often as it is taken, all columns.
+
+    Null ids and null sources match themselves, repeated rows count each. Null texts have
+    size 0 and are taken where their source is taken as a whole. Empty table: empty.
+    """
     keys = ["doc_id", "source", "size"]
     times = _mixed(sizes(docs), seed).filter("times > 0")
     times = times.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("times"))))
