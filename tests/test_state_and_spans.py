@@ -68,7 +68,7 @@ def test_search_halves_and_keeps_the_best(spark, messages):
     assert all(len({p[n] for p in points}) == 4 for n in K.BOOSTING_BOUNDS)
     points = [{**p, "maxIter": 50, "maxDepth": 2, "minInstancesPerNode": 5 + i} for i, p in enumerate(points)]
     out = sweep.search_boosting(prepared.rows(True), prepared.width + len(K.MANUAL_FEATURES), points,
-                                folds=2, rounds=(2, 4), keep=2).collect()
+                                folds=3, rounds=(2, 4), keep=2).collect()
     assert sorted((r.stage, r.rounds) for r in out) == [(0, 2), (0, 2), (1, 4), (2, 50)]
     assert all(0 <= r.f1_score <= 1 for r in out) and max(r.f1_score for r in out) > 0.9
     with pytest.raises(ValueError):
@@ -110,7 +110,7 @@ def test_a_long_island_takes_linear_time(spark):
         (F.col("id") + 7).cast("int").alias("end_idx"), (F.col("id") % 101 / 101.0).alias("score"))
     start = time.time()
     n = C.merge_spans(rows).count()
-    assert 10_000 < n < 100_000 and time.time() - start < 60
+    assert n == 991 and time.time() - start < 60  # one for every rise of the scores
 
 
 def test_rolling_risk_is_the_same_for_any_cut_into_batches():
