@@ -144,7 +144,7 @@ def links_of(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: li
 class _Chunk:
     """Documents until the chunk is full; then one row with its distinct pairs."""
 
-    NAMES = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "pairs", "pair_n", "first", "links"]
+    NAMES = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "pairs", "pair_n", "first", "links", "times"]
 
     def __init__(self, with_groups: bool):
         self.with_groups, self.size, self.rows, self.links = with_groups, 0, [], []
@@ -153,26 +153,27 @@ class _Chunk:
         text, n_groups, links = coder.align(a, b)
         self.rows.append((doc_id, len(a), len(b), n_groups, hashlib.sha256(text).hexdigest() if text else "",
                           text.decode() if self.with_groups else None))
-        self.links.append(links)
+        self.links.append(np.unique(links, return_counts=True))
         self.size += size
 
     def row(self, name: str) -> pa.RecordBatch:
-        flat = np.concatenate(self.links)
+        flat, times = (np.concatenate(x) for x in zip(*self.links, strict=True))
         place, pairs = pd.factorize(flat)
-        first = np.cumsum([0, *map(len, self.links)])
+        first = np.cumsum([0, *(len(x) for x, _ in self.links)])
+        total = np.bincount(place, times, len(pairs)).astype(np.int64)
         lists = [list(x) for x in zip(*self.rows, strict=True)]
         return pa.RecordBatch.from_arrays([
             pa.array([name]), pa.array([lists[0]], pa.list_(pa.int64())),
             *(pa.array([x], pa.list_(pa.int64())) for x in lists[1:4]),
             *(pa.array([x], pa.list_(pa.string())) for x in lists[4:6]),
             pa.array([pairs], pa.list_(pa.int64())),
-            pa.array([np.bincount(place, minlength=len(pairs))], pa.list_(pa.int64())),
-            pa.array([first.tobytes()], pa.binary()), pa.array([place.astype(np.int32).tobytes()], pa.binary())], self.NAMES)
+            pa.array([total], pa.list_(pa.int64())),
+            *(pa.array([x.tobytes()], pa.binary()) for x in (first, place.astype(np.int32), times.astype(np.int32)))], self.NAMES)
 
 
 _CHUNKS = ("chunk string, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
            "groups_sha256 array<string>, groups array<string>, pairs array<bigint>, pair_n array<bigint>, "
-           "first binary, links binary")
+           "first binary, links binary, times binary")
 
 
 def _chunks(byte_level: str, pieces: str, with_groups: bool, limit: int) -> Callable:
@@ -199,12 +200,13 @@ def _rated(_key, chunk: pa.Table, pairs: pa.Table) -> pa.Table:
     count = pairs.column("n").to_numpy()[order]
     best = pairs.column("is_best").to_numpy(zero_copy_only=False)[order]
     first, own = np.frombuffer(row["first"], np.int64), np.frombuffer(row["links"], np.int32)
+    times = np.frombuffer(row["times"], np.int32).astype(np.int64)
 
     def summed(x):
         total = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
         return total[first[1:]] - total[first[:-1]]
 
-    links = [np.diff(first), summed(best[own]), summed(count[own])]
+    links = [summed(times), summed(times * best[own]), summed(times * count[own])]
     return pa.table({c: pa.array(row[c], pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups")}
                     | dict(zip(("n_links", "n_best", "count_sum"), map(pa.array, links), strict=True))
                     | {c: pa.array(row[c], pa.string()) for c in ("groups_sha256", "groups")})
