@@ -1,8 +1,13 @@
 """Searches, sweeps and scoring whose disk or work must not grow with pairs of rows."""
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from riskloom import constants as K
 from riskloom.operators import nearest
 from riskloom.plans import scoring_queries as Q
 
@@ -74,3 +79,14 @@ def test_sweeps_take_fitted_forest_scores(spark, monkeypatch, forest):
     swept = Q.m1(spark, "").collect()
     assert {r.fp for r in swept} == {10 if forest else 0} and len(swept) > 1
     assert Q.m2(spark, "").count() == len(swept) and Q.m3_m5(spark, "").count() == 1
+
+
+def test_character_classes_are_what_they_were(spark):
+    """Same characters as the plain classes, whatever the flags; ASCII must be decided first."""
+    every = spark.range(1, 0x3100).unionByName(spark.range(0xA600, 0xD800)).unionByName(spark.range(0xE000, 0x10000)) \
+        .select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    plain = {K.S: f"[{K.SPACE}]", K.NS: f"[^{K.SPACE}]", f"[{K.WORD}]": r"[\p{L}\p{N}_]", f"[^{K.WORD}]": r"[^\p{L}\p{N}_]"}
+    differ = [F.col("c").rlike(flags + new) != F.col("c").rlike(flags + old)
+              for new, old in plain.items() for flags in ("", "(?iu)")]
+    assert every.filter(reduce(or_, differ)).count() == 0
+    assert K.NS.startswith("[!-~") and K.S.startswith("[[^!-~]") and K.WORD.startswith("a-zA-Z0-9_")
