@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
-from riskloom.operators import nearest
+from riskloom.operators import models, nearest
+from riskloom.plans import learning_queries
 from riskloom.plans import scoring_queries as Q
 
 
@@ -90,3 +91,18 @@ def test_character_classes_are_what_they_were(spark):
               for new, old in plain.items() for flags in ("", "(?iu)")]
     assert every.filter(reduce(or_, differ)).count() == 0
     assert K.NS.startswith("[!-~") and K.S.startswith("[[^!-~]") and K.WORD.startswith("a-zA-Z0-9_")
+
+
+def test_state_round_trip_cleans_messages_once(spark, monkeypatch, tmp_path):
+    cleaned = []
+    scored, steps = models.score_messages, models.clean_steps
+    monkeypatch.setattr(models, "score_messages", lambda *a: (cleaned.append(1), scored(*a))[1])
+    monkeypatch.setattr(models, "clean_steps", lambda *a: (cleaned.append(1), steps(*a))[1])
+    texts = ["urgente verify your password now", "hola nos vemos en casa", "", None]
+    spark.createDataFrame([(i, texts[i % 4], "en", "s") for i in range(48)], "doc_id long, text string, lang string, source string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int") \
+        .write.parquet(str(tmp_path / "labels.parquet"))
+    out = learning_queries.a15(spark, str(tmp_path)).collect()
+    assert len(out) == 48 and all(r.same_predicted_class and r.same_confidence and r.same_model_level for r in out)
+    assert len(cleaned) == 2
