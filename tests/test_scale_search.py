@@ -75,7 +75,8 @@ def test_sweeps_take_fitted_forest_scores(spark, monkeypatch, forest):
         rows, "msg_id long, predicted_class string, confidence double, risk_score int, model_level string, "
         "bayes_score double, cbr_score double, fraud_similarity double, legit_similarity double")
     monkeypatch.setattr(Q, "cascade_inputs", lambda *_: inputs)
-    monkeypatch.setattr(Q, "anomaly_scores", lambda *_: inputs.selectExpr("msg_id", f"{forest}D AS anomaly_score"))
+    scores = inputs.selectExpr("msg_id", f"{forest}D AS anomaly_score")
+    monkeypatch.setattr(Q, "anomaly_scores", lambda *_: scores.unionAll(scores))   # repeated ids add no rows
     monkeypatch.setattr(Q.T, "labels", lambda *_: inputs.selectExpr("msg_id", "'legitimate' AS label"))
     swept = Q.m1(spark, "").collect()
     assert {r.fp for r in swept} == {10 if forest else 0} and len(swept) > 1
