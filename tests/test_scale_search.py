@@ -107,3 +107,33 @@ def test_state_round_trip_cleans_messages_once(spark, monkeypatch, tmp_path):
     out = learning_queries.a15(spark, str(tmp_path)).collect()
     assert len(out) == 48 and all(r.same_predicted_class and r.same_confidence and r.same_model_level for r in out)
     assert len(cleaned) == 2
+
+
+def test_blocks_of_counted_terms_are_small_and_exact(spark):
+    from riskloom.operators import tfidf
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts = [(i, " ".join(rng.choice(words, int(n))), ["fraudulent", "legitimate"][i % 2])
+             for i, n in enumerate(rng.integers(1, 200, 600))] + [(900, "", "legitimate"), (901, None, "fraudulent")]
+    df = spark.createDataFrame(texts, "msg_id long, message string, label string").coalesce(1)
+    vocabulary = tfidf.fit_tfidf(df, ngrams=(1, 1)).cache()
+    parts = tfidf.transform_tfidf(df, vocabulary, ngrams=(1, 1), carry=["label"], unit=False).cache()
+    whole = tfidf.transform_tfidf(df, vocabulary, ngrams=(1, 1), carry=["label"]).cache()
+    entries = whole.selectExpr("sum(size(vector))").first()[0]
+    side = nearest._sides(parts, "msg_id", "query_id")
+    stored = nearest._blocks(side, "query_id").selectExpr("sum(length(codes) + length(ids) + length(weights))").first()[0]
+    assert stored < entries * 12 / 3      # a plain entry takes twelve bytes
+    # Rows of distinct weights are kept as they are.
+    _, plain = _vectors(spark, 50, 3)
+    kept = nearest._blocks(plain.selectExpr("id AS query_id", "ids", "weights"), "query_id").collect()
+    assert sum(len(r["weights"]) for r in kept) <= 8 * 50 * 6
+    found = [sorted(map(tuple, nearest.query_cases(v, nearest.build_cases(v), 5).collect())) for v in (parts, whole)]
+    assert found[0] == found[1] and len(found[0]) == len(texts)
+
+
+def test_texts_without_a_label_are_not_dealt(spark, tmp_path):
+    from riskloom.plans import tables
+    spark.sql("SELECT 1L AS doc_id, 'a' AS text, 'en' AS lang, 's' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("SELECT 1L AS doc_id, 1 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    plan = tables.labelled(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Repartition") < plan.index("Join")
