@@ -7,13 +7,18 @@ tree: nested levels of halving radii with exact covering radii, points in tree o
 Pairs of cells out of reach of each other are dropped; each other pair of blocks is
 traversed from the top level down: node pairs out of reach are pruned, node pairs
 wholly within reach are counted without looking inside, the rest is split, and points
-are compared in double precision.
+are compared in double precision. The first level's pairs are pruned by an upper bound of
+their cosine: leading coordinates in single precision, and the lengths of what they leave.
+A level that prunes too little is left for the next one.
 
 A task returns one row for each vector that linked: its count and the smallest id of
-its group inside the task, never the pairs. With vectors that have no structure at all
-no tree can prune above the points; the work is then a blocked product of all pairs.
+its group inside the task, never the pairs. Blocks are written once and read by a product
+that shuffles none. With vectors that have no structure at all no tree can prune above
+the points; the work is then a blocked product of all pairs.
 """
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,8 +32,11 @@ from riskloom.session import staged
 SAMPLE = 4096     # classes, by hash order, that the coarse cover is fitted on
 CELLS = 256       # of the coarse cover at most
 BLOCK = 4096      # classes in a block on average at most
+BUNDLE = 8        # blocks that travel together where there are many
 LEVELS = 7        # radii 1, 1/2, ... of a block's tree
 EPS = 1e-9        # margin of pruning and counting; points within it are compared
+SKETCH = 3        # one coordinate in so many is looked at first
+WIDTHS = [1e-6, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8]  # nodes of like radius are pruned by one bound
 
 
 def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +68,28 @@ def coarse_cover(x: np.ndarray, most: int) -> np.ndarray:
     return x[chosen]
 
 
+def leading(x: np.ndarray) -> np.ndarray:
+    """Orthonormal axes along which the given vectors are longest, one in ``SKETCH`` of all."""
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    return axes[:, :max(1, x.shape[1] // SKETCH)]
+
+
+def sketch(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors on the axes, and the length of the rest: no product is less than the vectors' own."""
+    on = x @ axes
+    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", on, on), 0))
+    return np.hstack([on, rest[:, None]]).astype(np.float32)
+
+
 class Tree:
-    """Points in tree order; per level the first point of every node, which is its centre, and its radius."""
+    """Points in tree order; per level the first point of every node, which is its centre, and its radius.
 
-    def __init__(self, ids, weights, x, starts, radii):
+    ``quick`` has the points' sketches; without them they are compared in all coordinates.
+    """
+
+    def __init__(self, ids, weights, x, starts, radii, quick=None):
         self.ids, self.weights, self.x, self.starts, self.radii = ids, weights, x, starts, radii
+        self.quick = quick
         self.ends = [np.append(s[1:], len(ids)) for s in starts]
         self.sums = np.concatenate([[0], np.cumsum(weights)])
 
@@ -96,23 +121,26 @@ class Tree:
             radii.append(np.maximum.reduceat(far, start))
         return cls(ids[order], weights[order], x, starts, radii)
 
+    def nodes(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Centres and radii of a level; below the last one points are nodes of their own."""
+        if level == LEVELS:
+            return np.arange(len(self.ids)), np.zeros(len(self.ids))
+        return self.starts[level], self.radii[level]
+
     def packed(self) -> dict:
         return {"ids": self.ids.astype("<i8").tobytes(), "weights": self.weights.astype("<i8").tobytes(),
                 "x": self.x.astype("<f8").tobytes(),
-                "starts": np.concatenate(self.starts).astype("<i8").tobytes(),
+                "starts": np.concatenate(self.starts).astype("<i4").tobytes(),
                 "radii": np.concatenate(self.radii).astype("<f8").tobytes(),
                 "nodes": np.array([len(s) for s in self.starts], "<i8").tobytes()}
 
     @classmethod
-    def unpacked(cls, row: dict) -> "Tree":
+    def unpacked(cls, row: dict, axes: np.ndarray | None = None) -> "Tree":
         ids, weights = (np.frombuffer(row[k], "<i8") for k in ("ids", "weights"))
         cuts = np.cumsum(np.frombuffer(row["nodes"], "<i8"))[:-1]
-        return cls(ids, weights, np.frombuffer(row["x"], "<f8").reshape(len(ids), -1),
-                   np.split(np.frombuffer(row["starts"], "<i8"), cuts),
-                   np.split(np.frombuffer(row["radii"], "<f8"), cuts))
-
-
-_PACKED = "ids binary, weights binary, x binary, starts binary, radii binary, nodes binary"
+        x = np.frombuffer(row["x"], "<f8").reshape(len(ids), -1)
+        return cls(ids, weights, x, np.split(np.frombuffer(row["starts"], "<i4").astype(np.int64), cuts),
+                   np.split(np.frombuffer(row["radii"], "<f8"), cuts), None if axes is None else sketch(x, axes))
 
 
 def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -129,6 +157,45 @@ def _products(p_begin, p_end, q_begin, q_end) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+def _near(left: tuple, right: tuple, reach: float, most: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of nodes (coordinates, radii) that may be within reach, or None for more than ``most``."""
+    (x, ra), (y, rb) = left, right
+    slack = (x.shape[1] + 4) * 2.0 ** -22 + 1e-6  # of products in single precision
+    alike = lambda r: [k for k in np.split(np.argsort(r, kind="stable"), np.searchsorted(np.sort(r), WIDTHS)) if len(k)]
+    found, n = [], 0
+    for j in alike(rb):
+        columns = np.ascontiguousarray(y[j].T)
+        step = max(1, 250_000 // len(j))  # products stay in the cache
+        for i in alike(ra):
+            bound = ra[i].max() + rb[j].max() + reach + EPS
+            least = np.float32(1 - bound * bound / 2 - slack if bound < 2 else -np.inf)
+            for s in range(0, len(i), step):
+                at = np.flatnonzero(x[i[s: s + step]] @ columns >= least)
+                n += len(at)
+                if n > most:
+                    return None
+                if len(at):
+                    found.append((i[s + at // len(j)], j[at % len(j)]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2
+
+
+def heads(a: Tree, b: Tree, reach: float, least: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """The first level that leaves few enough node pairs, or the points, and all of its pairs that may be within reach."""
+    for level in range(LEVELS + 1):
+        (at_a, ra), (at_b, rb) = a.nodes(level), b.nodes(level)
+        most = len(at_a) * len(at_b) / 64 + 1000
+        if level < LEVELS and 4 * len(at_a) * len(at_b) > len(a.ids) * len(b.ids):
+            continue  # hardly fewer nodes than points, but wider
+        if a.quick is not None and b.quick is not None:
+            pairs = _near((a.quick[at_a], ra), (b.quick[at_b], rb), reach, most)
+            if pairs is not None:
+                return level, *pairs
+        pairs = _near((a.x[at_a].astype(np.float32), ra), (b.x[at_b].astype(np.float32), rb), reach,
+                      most if level < LEVELS else np.inf)
+        if pairs is not None:
+            return level, *pairs
+
+
 def traverse(a: Tree, b: Tree, reach: float, least: float) -> tuple[np.ndarray, np.ndarray, list]:
     """Linked weights of a's and b's points, and links (a's place, b's place) that connect them.
 
@@ -154,15 +221,29 @@ def traverse(a: Tree, b: Tree, reach: float, least: float) -> tuple[np.ndarray,
         open_ = ~inside & (gap <= ra + rb + reach + EPS)
         return p[open_], q[open_]
 
-    heads, tops = [], b.x[b.starts[0]]
-    step = max(1, 2_000_000 // max(len(tops), 1))
-    for k in range(0, len(a.starts[0]), step):
-        gap = distances(a.x[a.starts[0][k: k + step]], tops)
-        near = gap <= a.radii[0][k: k + step, None] + b.radii[0][None] + reach + EPS
-        p, q = np.nonzero(near)
-        heads.append(settle(0, p + k, q, gap[p, q]))
-    p, q = (np.concatenate(z) for z in zip(*heads, strict=True)) if heads else (np.empty(0, int),) * 2
-    for level in range(LEVELS):
+    def compare(left, right):
+        """Counts point pairs that link."""
+        linked = np.einsum("ij,ij->i", a.x[left], b.x[right]) >= least
+        i, j = left[linked], right[linked]
+        for gain, own, weight in ((gain_a, i, b.weights[j]), (gain_b, j, a.weights[i])):
+            np.add.at(gain, own, weight)
+            np.add.at(gain, own + 1, -weight)
+        links.append((i, j))
+
+    first, p, q = heads(a, b, reach, least)
+    if first < LEVELS:
+        (centres_a, _), (centres_b, _) = a.nodes(first), b.nodes(first)
+        kept = []
+        for k in range(0, len(p), 200_000):
+            x, y = a.x[centres_a[p[k: k + 200_000]]], b.x[centres_b[q[k: k + 200_000]]]
+            gap = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, y), 0))
+            kept.append(settle(first, p[k: k + 200_000], q[k: k + 200_000], gap))
+        p, q = (np.concatenate(z) for z in zip(*kept, strict=True)) if kept else (np.empty(0, int),) * 2
+    else:
+        for k in range(0, len(p), 200_000):
+            compare(p[k: k + 200_000], q[k: k + 200_000])
+        p = q = np.empty(0, int)
+    for level in range(first, LEVELS):
         if not len(p):
             break
         last = level == LEVELS - 1
@@ -178,16 +259,10 @@ def traverse(a: Tree, b: Tree, reach: float, least: float) -> tuple[np.ndarray,
         kept = []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             left, right = _products(*(z[s:e] for z in bounds))
-            x = a.x[left if last else a.starts[level + 1][left]]
-            y = b.x[right if last else b.starts[level + 1][right]]
             if last:
-                linked = np.einsum("ij,ij->i", x, y) >= least
-                i, j = left[linked], right[linked]
-                for gain, own, weight in ((gain_a, i, b.weights[j]), (gain_b, j, a.weights[i])):
-                    np.add.at(gain, own, weight)
-                    np.add.at(gain, own + 1, -weight)
-                links.append((i, j))
+                compare(left, right)
             else:
+                x, y = a.x[a.starts[level + 1][left]], b.x[b.starts[level + 1][right]]
                 gap = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, y), 0))
                 kept.append(settle(level + 1, left, right, gap))
         p, q = (np.concatenate(z) for z in zip(*kept, strict=True)) if kept else (np.empty(0, int),) * 2
@@ -270,6 +345,7 @@ def _linked(classes: DataFrame, dims: int, least: float) -> DataFrame:
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()
     centres, _ = unit(list(sample["v"]))
+    axes = leading(centres)
     centres = coarse_cover(centres, min(CELLS, max(1, -(-n // BLOCK))))
     shared = spark.sparkContext.broadcast(centres)
 
@@ -292,38 +368,47 @@ def _linked(classes: DataFrame, dims: int, least: float) -> DataFrame:
     # at most CELLS rows: size and covering radius of every cell
     cells = {r["cell"]: r for r in placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
-    cuts = F.create_map(*[F.lit(z) for c, r in cells.items() for z in (c, -(-r["n"] // BLOCK))])
-    cut = F.pmod(F.xxhash64("rep"), F.element_at(cuts, F.col("cell")).cast("bigint")).cast("int")
+    cuts = {c: -(-r["n"] // BLOCK) for c, r in cells.items()}
+    before = dict(zip(cuts, np.cumsum([0, *cuts.values()]).tolist()))
+    of_cell = lambda numbers: F.element_at(F.create_map(*[F.lit(z) for pair in numbers.items() for z in pair]), F.col("cell"))
+    block = of_cell(before) + F.pmod(F.xxhash64("rep"), of_cell(cuts).cast("bigint")).cast("int")
+    size = max(1, min(BUNDLE, sum(cuts.values()) // 16))
+    reach = float(np.sqrt(2 - 2 * least))
+    gaps = distances(centres, centres)
+    near = {c: [d for d in cells if gaps[c, d] <= cells[c]["radius"] + cells[d]["radius"] + reach + 1e-6] for c in cells}
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rep")
-        x = np.frombuffer(b"".join(part["x"]), np.float64).reshape(-1, dims)
-        tree = Tree.built(part["rep"].to_numpy(), part["weight"].to_numpy(), x)
-        return pd.DataFrame([{"cell": part["cell"].iloc[0], "cut": part["cut"].iloc[0]} | tree.packed()])
+        trees = []
+        for number, rows in part.sort_values("rep").groupby("block"):
+            x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(-1, dims)
+            tree = Tree.built(rows["rep"].to_numpy(), rows["weight"].to_numpy(), x)
+            trees.append({"block": int(number), "cell": int(rows["cell"].iloc[0])} | tree.packed())
+        held = sorted({t["cell"] for t in trees})
+        return pd.DataFrame([{"bundle": int(part["bundle"].iloc[0]), "cells": held, "near": sorted({d for c in held for d in near[c]}),
+                              "trees": pickle.dumps(trees)}])
 
     ship_package(spark)
-    blocks = staged(placed.withColumn("cut", cut).groupBy("cell", "cut").applyInPandas(
-        pack, "cell int, cut int, " + _PACKED), "blocks")
-    reach = float(np.sqrt(2 - 2 * least))
-    gaps = distances(centres, centres)
-    near = [(c, d) for c in cells for d in cells
-            if c <= d and gaps[c, d] <= cells[c]["radius"] + cells[d]["radius"] + reach + 1e-6]
-    names = blocks.select("cell", "cut")
-    pairs = spark.createDataFrame(near, "c int, d int").join(
-        names.select(F.col("cell").alias("c"), F.col("cut").alias("i")), "c").join(
-        names.select(F.col("cell").alias("d"), F.col("cut").alias("j")), "d").filter("c < d OR i <= j")
-    one = blocks.select(F.col("cell").alias("c"), F.col("cut").alias("i"), F.struct(
-        "ids", "weights", "x", "starts", "radii", "nodes").alias("one"))
-    two = one.select(F.col("c").alias("d"), F.col("i").alias("j"), F.col("one").alias("two"))
-    joined = staged(pairs, "pairs").join(one, ["c", "i"]).join(two, ["d", "j"])
+    bundles = staged(placed.withColumn("block", block).withColumn("bundle", F.floor(F.col("block") / size).cast("int"))
+                     .groupBy("bundle").applyInPandas(pack, "bundle int, cells array<int>, near array<int>, trees binary"), "blocks")
+    named = lambda prefix: bundles.select(*[F.col(c).alias(f"{prefix}_{c}") for c in bundles.columns])
+    # Every pair of bundles once, in either order by turns, so that the parts of the product share them evenly.
+    turn = (F.col("a_bundle") < F.col("b_bundle")) == ((F.col("a_bundle") + F.col("b_bundle")) % 2 == 0)
+    once = (F.col("a_bundle") == F.col("b_bundle")) | turn
+    pairs = named("a").hint("shuffle_replicate_nl").join(named("b"), once & F.expr("arrays_overlap(a_near, b_cells)"))
+    tasks = max(bundles.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        unpacked = lambda data: [(t["block"], t["cell"], Tree.unpacked(t, axes)) for t in pickle.loads(data)]
+        out = [pd.DataFrame({c: np.empty(0, np.int64) for c in ("node", "links", "root")})]
+        number, left = None, []
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            same = (row["c"], row["i"]) == (row["d"], row["j"])
-            a = Tree.unpacked(row["one"])
-            out.append(linked_within(a, a if same else Tree.unpacked(row["two"]), same, least))
+            a, b = batch.column("a_bundle")[k].as_py(), batch.column("b_bundle")[k].as_py()
+            if a != number:
+                number, left = a, unpacked(batch.column("a_trees")[k].as_py())
+            right = left if a == b else unpacked(batch.column("b_trees")[k].as_py())
+            out += [linked_within(one, two, i == j, least) for i, c, one in left for j, d, two in right
+                    if d in near[c] and (a != b or i <= j)]
         return pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
 
-    return staged(row_map(joined, compare, "node bigint, links bigint, root bigint"), "compared")
+    columns = [f"{side}_{c}" for c in ("bundle", "trees") for side in "ab"]
+    return staged(row_map(pairs.select(*columns).coalesce(tasks), compare, "node bigint, links bigint, root bigint"), "compared")
